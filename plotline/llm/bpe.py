@@ -195,11 +195,12 @@ class ByteBPE:
         return encoded.mapInArrow(partial(_decode, model=self.model, ids=ids), schema)
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded and decoded rows."""
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded and decoded rows, and columns asked for."""
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
