@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotline.llm.common import fit_in_task
 from plotline.llm.units import bound_batches, texts_of
 
 #: Kinds in their listed order, and the patterns of the base kinds (fixed values).
@@ -413,7 +414,8 @@ def _finder(model) -> Finder:
 def _model(spark, table: list[list[tuple[str, int]]] | None):
     bound_batches(spark, 500)
     table = labelled_table() if table is None else table
-    return spark.sparkContext.broadcast((hashlib.sha256(repr(table).encode()).hexdigest(), train(table)))
+    field = fit_in_task(spark.range(1), lambda _: train(table))
+    return spark.sparkContext.broadcast((hashlib.sha256(repr(table).encode()).hexdigest(), field))
 
 
 def _joined(spans: list[Span]) -> str:
