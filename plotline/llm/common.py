@@ -79,5 +79,13 @@ def _in_task(batches: Iterator[pa.RecordBatch], work: Callable[[list], object])
 
 def fit_in_task(sample: DataFrame, work: Callable[[list], object]) -> object:
     """``work`` over the values of a bounded one-column sample, in one task, where numpy keeps to one core."""
-    found = sample.coalesce(1).mapInArrow(partial(_in_task, work=work), "result binary")
-    return pickle.loads(found.first().result)
+    found = sample.coalesce(1).mapInArrow(partial(_in_task, work=work), "result binary").first()
+    return pickle.loads(found.result) if found else work([])  # an empty table may have no task at all
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

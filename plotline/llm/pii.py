@@ -11,7 +11,7 @@ Cases: a null or empty text has no spans; a line longer than WINDOW words is dec
 overlap by OVERLAP words, each word taken from the window that holds it deeper; two spans never share
 a character, except base spans of different kinds, which all stay; repeated rows are searched each by
 itself; an empty table gives no rows. Redaction keeps all columns, whatever their names, and brings
-``n_chars`` up to date where there is one.
+``n_chars`` up to date where there is one of integers.
 """
 
 from __future__ import annotations
@@ -466,5 +466,5 @@ def _redact(batches: Iterator[pa.RecordBatch], model, at: int, length: int) -> I
 def redact(docs: DataFrame, table: list[list[tuple[str, int]]] | None = None) -> DataFrame:
     """``docs`` with personal data replaced by placeholders such as ``<EMAIL>``; all columns stay."""
     names = docs.columns
-    length = names.index("n_chars") if "n_chars" in names else -1
+    length = names.index("n_chars") if "n_chars" in names and dict(docs.dtypes)["n_chars"] in ("int", "bigint") else -1
     return docs.mapInArrow(partial(_redact, model=_model(docs.sparkSession, table), at=names.index("text"), length=length), docs.schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.common import materialize
+from plotline.llm.common import materialize, unused_name
 from plotline.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -89,9 +89,10 @@ def near_pairs(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """``doc_id, text_hash, fp, component_id`` for every row of ``docs``.
+    """``doc_id, text_hash, fp, component_id, root`` for every row of ``docs``.
 
-    ``component_id`` is the least ``doc_id`` reachable over links, the row itself included.
+    ``component_id`` is the least ``doc_id`` reachable over links, the row itself included; ``root`` is the
+    component's least fingerprint, which tells components apart even where ids repeat or are null.
     Only distinct fingerprints are joined, so a group of copies of any size costs one fingerprint.
     """
     rows = materialize(fingerprints(docs))
@@ -99,8 +100,8 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
     roots = connected_components(near_pairs(nodes.select("fp"), max_distance))
     linked = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     names = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = materialize(linked.join(names, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = materialize(linked.join(names, "root").select("fp", "component_id", "root"))
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -108,12 +109,13 @@ def drop_near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> D
 
     A row that repeats both id and text of the one kept is dropped too, so one row of each group stays.
     """
-    rows = near_duplicates(docs, max_distance).withColumn("component_fp", F.coalesce("component_id", "fp"))
+    rows = near_duplicates(docs, max_distance)
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
-    kept = rows.groupBy("component_fp", F.col("component_id").isNull()).agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("_doc_id"), F.col("k.text_hash").alias("_text_hash"))
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
+    names = [unused_name(docs, n) for n in ("_kept_id", "_kept_hash", "_own_hash")]
+    kept = rows.groupBy("root").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias(names[0]), F.col("k.text_hash").alias(names[1]))
     return (
-        marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_text_hash")), "left_semi")
-        .dropDuplicates(["doc_id", "_hash"])
-        .drop("_hash")
+        docs.withColumn(names[2], F.xxhash64("text"))
+        .join(kept, F.col("doc_id").eqNullSafe(F.col(names[0])) & (F.col(names[2]) == F.col(names[1])), "left_semi")
+        .dropDuplicates(["doc_id", names[2]])
+        .drop(names[2])
     )
