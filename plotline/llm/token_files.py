@@ -121,13 +121,13 @@ def _encoder(path: str):
         out: dict[str, bytes] = {}
         for a in range(0, len(simple), 4096):
             part = simple[a : a + 4096]
-            ids = np.array(tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(leads[ids])
             if len(cut) != len(part):
                 raise ValueError("units and tokens do not line up")
             out.update(zip(part, (x.tobytes() for x in np.split(ids, cut[1:])), strict=True))
         rest = [u for u in units if u not in out]
-        found = tokenizer.encode_batch(rest, add_special_tokens=False) if rest else []
+        found = tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
         out.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(rest, found, strict=True))
         return [out[u] for u in units]
 

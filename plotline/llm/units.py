@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import filterfalse
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -19,22 +18,43 @@ from pyspark.sql import SparkSession
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _EDGE = re.compile(f"^[{SPACE}]|[{SPACE}]$|^$")
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 500_000
 _LONG = 200  # longer units are encoded anew each time, so that the memo's size is bounded
 _CHUNK = 1 << 20  # characters split at once
+_PUNCTUATION = ".,;:!?%$&*#|\"')("  # after letters, a run of these is a pre-token of its own
 
 
 class Memo:
-    """``encode(units)`` remembered by unit. A unit of one space and a word is kept by the word."""
+    """``encode(units)`` remembered by unit. A unit of one space and a word is kept by the word.
+
+    A new unit of letters and punctuation is put together from its two parts, which are far fewer.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = MEMO_ENTRIES):
         self.encode, self.entries = encode, entries
         self.words: dict[str, bytes] = {}
         self.others: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def _learn(self, known: dict[str, bytes], new: Iterable[str], lead: str) -> None:
-        new = list(new)
-        known.update(zip(new, self.encode([lead + x for x in new]), strict=True))
+    def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
+        plan, needed, parts = [], set(), self.parts
+        for unit in new:
+            core = unit.rstrip(_PUNCTUATION)
+            if len(core) == len(unit) or not core.isalpha():
+                plan.append((unit, lead + unit, ""))
+                needed.add(lead + unit)
+            else:
+                rest = unit[len(core) :]
+                plan.append((unit, lead + core, rest))
+                needed.add(lead + core)
+                needed.add(rest)
+        fresh = list(needed.difference(parts))
+        parts.update(zip(fresh, self.encode(fresh), strict=True))
+        for unit, first, rest in plan:
+            known[unit] = parts[first] + parts[rest] if rest else parts[first]
+        for x in fresh:
+            if len(x) > _LONG:
+                del parts[x]
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The joined encodings of each text, in order; ``b""`` for an empty one."""
@@ -48,31 +68,43 @@ class Memo:
         yield from self._chunk(chunk)
 
     def _chunk(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.words) > self.entries:
-            self.words.clear()
-        if len(self.others) > self.entries // 4:
-            self.others.clear()
+        for known, bound in ((self.words, self.entries), (self.others, self.entries // 5), (self.parts, self.entries)):
+            if len(known) > bound:
+                known.clear()
         words, others = self.words, self.others
-        split, new, odd = [], set(), set()
+        split, new, odd = [], set(), {"\n"}
         for text in texts:
-            head, *pieces = text.split(" ")
-            fresh = set(filterfalse(words.__contains__, pieces))
-            if _EDGE.search(head) or any(map(_EDGE.search, fresh)):  # runs of white space: cut with care
+            lines, fresh, heads = [], set(), set()
+            for line in text.split("\n"):
+                pieces = line.split(" ")
+                heads.add(head := pieces.pop(0))
+                found = list(map(words.get, pieces))
+                if None in found:
+                    fresh.update(x for x, known in zip(pieces, found, strict=True) if known is None)
+                else:
+                    pieces = None
+                lines.append((head, found, pieces))
+            if any(map(_EDGE.search, heads)) or any(map(_EDGE.search, fresh)):  # runs of white space: cut with care
                 units = _UNIT.findall(text)
-                split.append((None, units))
-                odd.update(filterfalse(others.__contains__, units))
+                split.append((units, None))
+                odd.update(units)
             else:
-                split.append((head, pieces))
+                split.append((None, lines))
                 new |= fresh
-                if head not in others:
-                    odd.add(head)
+                odd |= heads
+        odd.difference_update(others)
         self._learn(words, new, " ")
         self._learn(others, odd, "")
-        for head, pieces in split:
-            if head is None:
-                yield b"".join(map(others.__getitem__, pieces))
+        for units, lines in split:
+            if lines is None:
+                yield b"".join(map(others.__getitem__, units))
             else:
-                yield others[head] + b"".join(map(words.__getitem__, pieces))
+                whole = []
+                for head, found, pieces in lines:
+                    if pieces is not None:
+                        found = [words[x] if known is None else known for x, known in zip(pieces, found, strict=True)]
+                    whole.append(others[head] + b"".join(found))
+                yield others["\n"].join(whole)
         for known, learnt in ((words, new), (others, odd)):
             for x in learnt:
                 if len(x) > _LONG:
