@@ -3,7 +3,7 @@
 The lexicon is every term whose share of documents lies in a band: terms in too many documents say
 nothing, and terms in too few are typos and names that the least edit would change. A text's distinct
 lexicon terms are sorted and hashed once as a whole and once for each of several random subsets of the
-lexicon, from a half down to a sixty-fourth of it. An edit changes only the subsets that hold a term
+lexicon, from an eighth down to a 256th of it. An edit changes only the subsets that hold a term
 it adds or takes away, so the share of equal subset hashes says how alike two texts are.
 
 The lower end of the band bounds the lexicon whatever the corpus: each term in it stands in at least
@@ -26,11 +26,11 @@ from pyspark.sql.window import Window
 
 from plotline.llm.common import materialize
 
-MIN_SHARE = 1 / 1000
+MIN_SHARE = 1 / 400
 MAX_SHARE = 1 / 20
 MAX_BROADCAST = 2_000_000
-SUBSETS_PER_RATE = 4
-RATE_BITS = (1, 2, 3, 4, 5, 6)  # a subset at b bits holds one term in 2 ** b
+SUBSETS_PER_RATE = 5
+RATE_BITS = (3, 4, 5, 6, 7, 8)  # a subset at b bits holds one term in 2 ** b
 _ROWS_PER_RANGE, _MOST_RANGES = 2000, 8192
 _LEAST_ID = -(1 << 63)
 
