@@ -6,14 +6,14 @@ adjacent pairs over doubly linked bytes, so that a pre-token of n bytes takes n
 
 Cases: a null or empty text has no ids and decodes to no bytes; special tokens' strings are ordinary
 text; very long pre-tokens are merged whole; repeated rows are encoded alike, row by row; other
-columns pass through; an input with a column named like an output is refused by Spark as ambiguous
-unless renamed first.
+columns pass through, but a column already named like an output gives way to it.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 from functools import partial
 
@@ -43,6 +43,9 @@ def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
+KNOWN_PRETOKENS = 300_000
+
+
 class PerfectHash:
     """A minimal perfect hash by hash-and-displace: n keys in n slots.
 
@@ -118,17 +121,28 @@ class Encoder:
         self.tokens, self.table = tokens, table
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.pattern = regex.compile(pattern)
+        self.known: dict[str, bytes] = {}  # pre-tokens met before, up to a bound
 
     def __call__(self, units: list[str]) -> list[bytes]:
-        split = [[x.encode("utf-8", "replace") for x in self.pattern.findall(u)] for u in units]
-        distinct = list({x for parts in split for x in parts})
-        if not distinct:
-            return [b""] * len(units)
-        ids: dict[bytes, bytes] = {}
-        for word, at in zip(distinct, self.table.candidates(distinct).tolist(), strict=True):
-            whole = self.tokens[at] == word
-            ids[word] = np.array([at] if whole else merge(word, self.ranks), "<u4").tobytes()
-        return [b"".join(map(ids.__getitem__, parts)) for parts in split]
+        if len(self.known) > KNOWN_PRETOKENS:
+            self.known.clear()
+        known = self.known
+        split = list(map(self.pattern.findall, units))
+        fresh = list({x for parts in split for x in parts if x not in known})
+        if fresh:
+            words = [x.encode("utf-8", "replace") for x in fresh]
+            tokens, ranks = self.tokens, self.ranks
+            for text, word, at in zip(fresh, words, self.table.candidates(words).tolist(), strict=True):
+                if tokens[at] == word:
+                    known[text] = at.to_bytes(4, "little")
+                else:
+                    ids = merge(word, ranks)
+                    known[text] = struct.pack(f"<{len(ids)}I", *ids)
+        out = [known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts)) for parts in split]
+        for x in fresh:
+            if len(x) > 200:
+                del known[x]
+        return out
 
 
 _memos: dict[tuple, Memo] = {}
@@ -185,12 +199,14 @@ class ByteBPE:
 
     def encode(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` with ``ids array<int>`` in place of the text column."""
+        docs = docs.drop("ids")
         kept = [f for f in docs.schema.fields if f.name != text]
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids array<int>"])
         return docs.mapInArrow(partial(_encode, model=self.model, text=text), schema)
 
     def decode(self, encoded: DataFrame, ids: str = "ids") -> DataFrame:
         """``encoded`` with ``decoded binary`` added."""
+        encoded = encoded.drop("decoded")
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields), "decoded binary"])
         return encoded.mapInArrow(partial(_decode, model=self.model, ids=ids), schema)
 
