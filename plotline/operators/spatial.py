@@ -119,3 +119,21 @@ def moran(values: DataFrame, edges: DataFrame, key: str, value: str) -> DataFram
     mean = values.agg(F.avg(value).alias("_m"))
     z = F.col(value) - F.col("_m")
     return lagged.join(F.broadcast(mean)).agg(F.count("*").alias("n"), (F.sum(z * (F.col("lag") - F.col("_m"))) / F.sum(z * z)).alias("moran_i")).withColumn("expected_i", -1.0 / (F.col("n") - 1))
+
+
+def polygon_distance(points: DataFrame, rings: DataFrame, key: str, name: str) -> DataFrame:
+    """``key``, the nearest polygon (ties by name) and its distance, 0 inside.
+
+    ``rings`` has a row for each polygon: ``name`` and ``ring``, a closed array of ``x, y``. Inside is an
+    odd number of crossings of a ray to the right. Polygons are few, and their number is checked.
+    """
+    n = rings.count()
+    if n > MAX_BROADCAST_ROWS:
+        raise ValueError(f"{n} polygons are too many to broadcast")
+    edges = F.expr("transform(sequence(1, size(ring) - 1), i -> named_struct('ax', ring[i - 1].x, 'ay', ring[i - 1].y, 'bx', ring[i].x, 'by', ring[i].y))")
+    packed = rings.select(F.struct(F.col(name).alias("name"), edges.alias("edges")).alias("p")).agg(F.array_sort(F.collect_list("p")).alias("_polygons"))
+    along = "greatest(0D, least(1D, coalesce(try_divide((x - e.ax) * (e.bx - e.ax) + (y - e.ay) * (e.by - e.ay), (e.bx - e.ax) * (e.bx - e.ax) + (e.by - e.ay) * (e.by - e.ay)), 0D)))"
+    gap = f"sqrt(pow(x - e.ax - {along} * (e.bx - e.ax), 2) + pow(y - e.ay - {along} * (e.by - e.ay), 2))"
+    crossed = "(e.ay > y) <> (e.by > y) and x < (e.bx - e.ax) * (y - e.ay) / nullif(e.by - e.ay, 0D) + e.ax"
+    far = f"array_min(transform(_polygons, p -> named_struct('d', if(size(filter(p.edges, e -> {crossed})) % 2 = 1, 0D, array_min(transform(p.edges, e -> {gap}))), 'name', p.name)))"
+    return points.join(F.broadcast(packed)).select(key, F.expr(far).alias("_near")).select(key, F.col("_near.name").alias(f"nearest_{name}"), F.col("_near.d").alias("polygon_distance"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotline.operators import asof, cleaning, indices, spatial, validation
-from plotline.plans import catalog
+from plotline.plans import catalog, valuation  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
