@@ -73,6 +73,13 @@ def test_rare_words_come_by_the_join(docs, monkeypatch):
     assert got == want
 
 
+def test_hot_words_keep_their_bound(spark):
+    counts = spark.createDataFrame([(bytes([65 + i]), 2**i) for i in range(10)] + [(b"tie1", 7), (b"tie2", 7)], "word binary, c long")
+    assert lm.hot_words(counts, 3).count() == 3 and lm.hot_words(counts, 100).count() == 12
+    assert {r.c for r in lm.hot_words(counts, 8).collect()} == {512, 256, 128, 64, 32, 16, 8}
+    assert lm.hot_words(counts.limit(0)).count() == 0
+
+
 def test_attention_scores_each_id_once_and_sees_no_future():
     rng = np.random.default_rng(0)
     model = lm.Model(np.ones(50257))
