@@ -117,15 +117,18 @@ def _encoder(path: str):
         leads[i] = token.startswith("Ġ")  # the byte-level letter for a space
 
     def encode(units: list[str]) -> list[bytes]:
-        simple = [u for u in units if u[:1] == " " and u.count(" ") == 1]
+        simple = [u for u in units if u[:1] == " " and " " not in u[1:]]
         out: dict[str, bytes] = {}
         for a in range(0, len(simple), 4096):
             part = simple[a : a + 4096]
             ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(leads[ids])
+            cut = (np.flatnonzero(leads[ids]) * 4).tolist()
             if len(cut) != len(part):
                 raise ValueError("units and tokens do not line up")
-            out.update(zip(part, (x.tobytes() for x in np.split(ids, cut[1:])), strict=True))
+            raw = ids.tobytes()
+            out.update(zip(part, [raw[x:y] for x, y in zip(cut, [*cut[1:], len(raw)], strict=True)], strict=True))
+        if len(simple) == len(units):
+            return list(out.values()) if len(out) == len(units) else [out[u] for u in units]
         rest = [u for u in units if u not in out]
         found = tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
         out.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(rest, found, strict=True))

@@ -8,6 +8,7 @@ of a corpus repeat, and a bounded memo in each Python worker keeps their encodin
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -24,6 +25,11 @@ _CHUNK = 1 << 20  # characters split at once
 _PUNCTUATION = ".,;:!?%$&*#|\"')("  # after letters, a run of these is a pre-token of its own
 
 
+def _regular(pieces: set[str]) -> bool:
+    """No piece is empty, or begins or ends with white space; printable text has none but the space itself."""
+    return "" not in pieces and (all(map(str.isprintable, pieces)) or not any(map(_EDGE.search, pieces)))
+
+
 class Memo:
     """``encode(units)`` remembered by unit. A unit of one space and a word is kept by the word.
 
@@ -34,27 +40,32 @@ class Memo:
         self.encode, self.entries = encode, entries
         self.words: dict[str, bytes] = {}
         self.others: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # by what goes before
 
     def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
-        plan, needed, parts = [], set(), self.parts
+        led, plain = self.parts[lead], self.parts[""]
+        later = []
         for unit in new:
             core = unit.rstrip(_PUNCTUATION)
             if len(core) == len(unit) or not core.isalpha():
-                plan.append((unit, lead + unit, ""))
-                needed.add(lead + unit)
+                later.append((unit, unit, ""))
+                continue
+            rest = unit[len(core) :]
+            first, second = led.get(core), plain.get(rest)
+            if first is None or second is None:
+                later.append((unit, core, rest))
             else:
-                rest = unit[len(core) :]
-                plan.append((unit, lead + core, rest))
-                needed.add(lead + core)
-                needed.add(rest)
-        fresh = list(needed.difference(parts))
-        parts.update(zip(fresh, self.encode(fresh), strict=True))
-        for unit, first, rest in plan:
-            known[unit] = parts[first] + parts[rest] if rest else parts[first]
-        for x in fresh:
-            if len(x) > _LONG:
-                del parts[x]
+                known[unit] = first + second
+        fresh = {core for _, core, _ in later if core not in led}
+        led.update(zip(fresh, self.encode([lead + x for x in fresh] if lead else list(fresh)), strict=True))
+        rests = {rest for _, _, rest in later if rest and rest not in plain}
+        if rests:
+            plain.update(zip(rests, self.encode(list(rests)), strict=True))
+        for unit, core, rest in later:
+            known[unit] = led[core] + plain[rest] if rest else led[core]
+        for part, learnt in ((led, fresh), (plain, rests)):
+            for x in [x for x in learnt if len(x) > _LONG]:
+                part.pop(x, None)
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The joined encodings of each text, in order; ``b""`` for an empty one."""
@@ -63,12 +74,20 @@ class Memo:
             chunk.append(text)
             size += len(text)
             if size >= _CHUNK:
-                yield from self._chunk(chunk)
+                yield from self._collected(chunk)
                 chunk, size = [], 0
-        yield from self._chunk(chunk)
+        yield from self._collected(chunk)
+
+    def _collected(self, texts: list[str]) -> list[bytes]:
+        """One chunk, without the cycle collector, which would walk millions of short-lived strings."""
+        gc.disable()
+        try:
+            return list(self._chunk(texts))
+        finally:
+            gc.enable()
 
     def _chunk(self, texts: list[str]) -> Iterator[bytes]:
-        for known, bound in ((self.words, self.entries), (self.others, self.entries // 5), (self.parts, self.entries)):
+        for known, bound in ((self.words, self.entries), (self.others, self.entries // 5), (self.parts[" "], self.entries), (self.parts[""], self.entries // 5)):
             if len(known) > bound:
                 known.clear()
         words, others = self.words, self.others
@@ -84,7 +103,7 @@ class Memo:
                 else:
                     pieces = None
                 lines.append((head, found, pieces))
-            if any(map(_EDGE.search, heads)) or any(map(_EDGE.search, fresh)):  # runs of white space: cut with care
+            if not (_regular(heads) and _regular(fresh)):  # runs of white space: cut with care
                 units = _UNIT.findall(text)
                 split.append((units, None))
                 odd.update(units)
