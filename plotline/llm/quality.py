@@ -12,8 +12,9 @@ ids; these bounds are parameters. Scoring covers all rows, whole texts, without
 
 Cases: null and empty texts have no words and are scored by their metadata; null language and source
 are levels of their own; labels of unknown ids and null labels are left out; without labels of both
-kinds a target scores 0.5 throughout and rejects nothing; repeated rows are scored each by itself; an
-empty table gives no rows; all columns of the input are kept by the filter, whatever their names.
+kinds a target scores 0.5 throughout and rejects nothing; repeated rows are scored each by itself, but
+an id teaches by its smallest text alone; an empty table gives no rows; all columns of the input are
+kept by the filter, whatever their names.
 """
 
 from __future__ import annotations
@@ -233,7 +234,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
     pool = sample(rows, max_pool).select("doc_id").distinct().withColumn("_pool", F.lit(True))
     wanted = F.broadcast(chosen.join(pool, "doc_id", "full"))  # at most max_labelled + max_pool ids
-    found = rows.join(wanted, "doc_id").mapInArrow(_features, "quality int, toxic int, words array<int>, page array<float>").toArrow()
+    # one text for each id, so that an id with a third of all rows keeps the sample to its bound
+    one = rows.join(wanted, "doc_id").groupBy("doc_id", *TARGETS, "_pool").agg(F.min(F.struct("text", "lang", "source")).alias("first"))
+    found = one.select(*TARGETS, "first.*").mapInArrow(_features, "quality int, toxic int, words array<int>, page array<float>").toArrow()
     words = [np.asarray(x.values, np.int32) for x in found.column("words")]
     pages = np.array(found.column("page").to_pylist(), np.float64).reshape(-1, _WIDTH)
     out = {}

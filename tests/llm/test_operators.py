@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from plotline.llm import bpe, decontaminate, imatch, licenses, lm, pii, quality, sharding, simhash, token_files, units
 from plotline.llm.components import connected_components
@@ -383,6 +384,9 @@ def test_quality(spark, docs, no_docs):
     got = quality.score(df, views).collect()
     held = [r for r in got if r.doc_id >= 1300]
     assert sum(r.keep == (truth[r.doc_id][0] and not truth[r.doc_id][1]) for r in held) >= 0.95 * len(held)
+    hot = spark.range(600).select(F.lit(1000).cast("long").alias("doc_id"), F.lit(rows[0][1]).alias("text"), F.lit("en").alias("lang"), F.lit("src0").alias("source"))
+    again = quality.fit(df.unionByName(hot), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_labelled=10_000, max_pool=10_000)
+    assert all(np.allclose(again[t].words, views[t].words, atol=1e-3) for t in quality.TARGETS)  # copies of an id teach once
     kept = quality.keep_good(docs, views)
     assert kept.columns == docs.columns and quality.score(docs, views).count() == len(ROWS)
     assert quality.keep_good(no_docs, views).count() == 0
