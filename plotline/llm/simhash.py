@@ -105,11 +105,15 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
 
 
 def drop_near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Keep of every component the row with the least ``doc_id`` (nulls last), with all its columns.
+    """Keep of every component the row with the least ``doc_id`` (nulls last), with all its columns."""
+    return keep_first(docs, near_duplicates(docs, max_distance))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Keep of every ``root`` in ``rows`` (``doc_id, text_hash, root``) the row of ``docs`` with the least ``doc_id``.
 
     A row that repeats both id and text of the one kept is dropped too, so one row of each group stays.
     """
-    rows = near_duplicates(docs, max_distance)
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     names = [unused_name(docs, n) for n in ("_kept_id", "_kept_hash", "_own_hash")]
     kept = rows.groupBy("root").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias(names[0]), F.col("k.text_hash").alias(names[1]))
