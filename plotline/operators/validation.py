@@ -66,6 +66,23 @@ def temporal_split(df: DataFrame, year: str, test_years: int) -> DataFrame:
     return df.join(F.broadcast(last)).withColumn("split", F.when(F.col(year) > F.col("_last") - test_years, "test").otherwise("train")).drop("_last")
 
 
+def chronological_split(df: DataFrame, year: str, validation_start: int | None = None, test_start: int | None = None) -> DataFrame:
+    """``split``: train before the validation year, test from the test year on; the last two years if none are given.
+
+    Every row is kept; one without a year is in no split (null). Only the distinct years come to the driver.
+    """
+    years = sorted(r[0] for r in df.select(F.col(year).cast("int")).distinct().collect() if r[0] is not None)
+    if len(years) < 3:
+        raise ValueError("a chronological split needs at least three years")
+    first, last = validation_start or years[-2], test_start or years[-1]
+    if first >= last:
+        raise ValueError("validation_start must precede test_start")
+    if not (years[0] < first and any(first <= y < last for y in years) and last <= years[-1]):
+        raise ValueError("cutoffs must leave nonempty train, validation and test sets")
+    y = F.col(year)
+    return df.withColumn("split", F.when(y < first, "train").when(y < last, "validation").when(y >= last, "test"))
+
+
 def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
     """``fold`` by a hash of the group, so that a group is never split."""
     return df.withColumn("fold", F.pmod(F.crc32(F.col(group).cast("string").cast("binary")), F.lit(folds)))

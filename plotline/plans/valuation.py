@@ -73,6 +73,12 @@ def chronological_split(spark, d):
     return s.withColumns({"k": k, "n": n}).select("sale_id", F.when(F.col("k") <= 0.6 * F.col("n"), "train").when(F.col("k") <= 0.8 * F.col("n"), "calibration").otherwise("test").alias("split"))
 
 
+@query(f"""WITH {SALES}, y AS (SELECT DISTINCT sale_year AS year FROM sales WHERE sale_year IS NOT NULL), t AS (SELECT max(year) AS last FROM y), v AS (SELECT max(year) AS first FROM y, t WHERE year < last)
+ SELECT sale_id, sale_year, CASE WHEN sale_year < first THEN 'train' WHEN sale_year < last THEN 'validation' WHEN sale_year >= last THEN 'test' END AS split FROM sales, t, v""")
+def chronological_split_by_year(spark, d):
+    return validation.chronological_split(proxies.sales(spark, d), "sale_year").select("sale_id", "sale_year", "split")
+
+
 @query(f"""WITH {SIZED}, m AS (SELECT quantile_cont(building_sqft, 0.5) AS m FROM sized) SELECT sale_id, coalesce(building_sqft, m) AS building_sqft, building_sqft IS NULL AS building_sqft_missing FROM sized, m""")
 def impute_median(spark, d):
     return hedonic.impute_median(proxies.sized(spark, d), "building_sqft").select("sale_id", "building_sqft", "building_sqft_missing")

@@ -113,6 +113,24 @@ def test_comparables_are_prior(spark):
     assert all(len(w) <= 4 and sum(w) == pytest.approx(1) for w in total.values())
 
 
+def test_chronological_split_labels_every_row_by_year(spark):
+    df = spark.createDataFrame([(i, y) for i, y in enumerate([1990, 1990, 1995, 1995, 1997, None, 1990])], "id long, year int")
+    got = {r.id: r.split for r in validation.chronological_split(df, "year").collect()}
+    assert got == {0: "train", 1: "train", 2: "validation", 3: "validation", 4: "test", 5: None, 6: "train"}
+    assert {r.split for r in validation.chronological_split(df, "year", 1991, 1996).where("id = 2").collect()} == {"validation"}
+    for cuts in ((1997, 1995), (1980, 1995), (1991, 1994), (1995, 2000)):
+        with pytest.raises(ValueError):
+            validation.chronological_split(df, "year", *cuts)
+    with pytest.raises(ValueError):
+        validation.chronological_split(df.where("year < 1997"), "year")
+
+
+def test_chronological_split_covers_all_sales(spark, duck):
+    rows = valuation.chronological_split_by_year(spark, SF)
+    assert rows.count() == duck.execute("SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey").fetchone()[0]
+    assert rows.select("split").distinct().count() == 3 and rows.where("split is null").count() == 0
+
+
 def test_missing_column_is_named(spark):
     with pytest.raises(ValueError, match="missing columns: pin"):
         cleaning.require(spark.range(1), "pin", "id")
