@@ -1,17 +1,18 @@
 """I-Match document fingerprints over randomised lexicon subsets.
 
-The lexicon is every term whose share of documents lies in a band: terms in too many documents say
-nothing, and terms in too few are typos and names that the least edit would change. A text's distinct
+The lexicon is every term whose share of distinct texts lies in a band: terms in too many texts say
+nothing, and terms in too few are typos and names that the least edit would change. Copies count once,
+so that no group of copies puts its own terms beyond the band. A text's distinct
 lexicon terms are sorted and hashed once as a whole and once for each of several random subsets of the
 lexicon, from an eighth down to a 256th of it. An edit changes only the subsets that hold a term
 it adds or takes away, so the share of equal subset hashes says how alike two texts are.
 
 The lower end of the band bounds the lexicon whatever the corpus: each term in it stands in at least
-that share of documents, so there are at most (mean distinct terms of a text) / MIN_SHARE of them. It
+that share of texts, so there are at most (mean distinct terms of a text) / MIN_SHARE of them. It
 is broadcast up to MAX_BROADCAST terms, and joined by a shuffle beyond.
 
 Cases: a null or empty text has no terms, and all such texts share a fingerprint; a text without a
-lexicon term is fingerprinted by all its terms; equal texts have equal fingerprints whatever their
+lexicon term is fingerprinted, whole and subsets, by all its terms; equal texts have equal fingerprints whatever their
 ids; rows with the same id follow each other in order of their texts' hashes; a null id comes after
 all others; an empty table gives no rows. Other columns are not carried along.
 """
@@ -42,9 +43,10 @@ def terms(text: str) -> Column:
 
 
 def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
-    """``term`` (hashes) in the band, counted over all documents with map-side sums."""
-    texts = docs.where("text is not null and text <> ''").select("text")
-    n = texts.count()
+    """``term`` (hashes) in the band, counted over all distinct texts with map-side sums."""
+    rows = docs.where("text is not null and text <> ''").select(F.xxhash64("text").alias("hash"), F.char_length("text").alias("size"), "text")
+    n = rows.select("hash", "size").distinct().count()
+    texts = rows.groupBy("hash", "size").agg(F.first("text").alias("text"))
     counts = texts.select(F.explode(terms("text")).alias("term")).groupBy("term").count()
     return materialize(counts.where((F.col("count") >= min_share * n) & (F.col("count") <= max(1.0, max_share * n))).select("term"))
 
@@ -54,15 +56,13 @@ def _in_subset(shift: int, mask: int) -> Callable[[Column], Column]:
 
 
 def _on_side(side: int) -> Callable[[Column], Column]:
-    return lambda term: F.struct(F.lit(side).alias("side"), term.alias("term"))
+    none = F.lit(None).cast("array<bigint>")
+    return lambda term: F.struct(F.lit(side).alias("side"), term.alias("term"), none.alias("all_own"), none.alias("all_new"))
 
 
-def signatures(sorted_terms: Column, otherwise: Column) -> Column:
-    """Hashes of the whole and of each subset; null for a subset without a term of the text.
-
-    ``otherwise`` stands for the whole where no term is in the lexicon.
-    """
-    parts = [F.when(F.size(sorted_terms) > 0, F.xxhash64(sorted_terms)).otherwise(otherwise)]
+def signatures(sorted_terms: Column) -> Column:
+    """Hashes of the whole and of each subset; null for a subset without a term of the text."""
+    parts = [F.xxhash64(sorted_terms)]
     for r, bits in enumerate(RATE_BITS):
         for k in range(SUBSETS_PER_RATE):
             shift = (11 * (r * SUBSETS_PER_RATE + k) + 5) % 57
@@ -127,19 +127,23 @@ def fingerprint_with_neighbours(docs: DataFrame) -> DataFrame:
         .select("range", "guest", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), terms("text").alias("own"), terms("edited").alias("new"))
     )
     sides = [F.transform("own", _on_side(0)), F.transform("new", _on_side(1))]
-    none = F.array(F.struct(F.lit(-1).alias("side"), F.lit(None).cast("long").alias("term")))  # keeps rows without a lexicon term
-    group = ["range", "guest", "place", "doc_id", "n_chars", "edited_sha256", "own_whole", "new_whole"]
+    # keeps rows without a lexicon term, and all terms once for each row
+    whole = F.array(F.struct(F.lit(-1).alias("side"), F.lit(None).cast("long").alias("term"), F.col("own").alias("all_own"), F.col("new").alias("all_new")))
+    group = ["range", "guest", "place", "doc_id", "n_chars", "edited_sha256"]
     hits = (
-        rows.withColumns({"own_whole": F.xxhash64(F.sort_array("own")), "new_whole": F.xxhash64(F.sort_array("new"))})
-        .select(*group, F.inline(F.concat(none, *sides)))
+        rows.select(*group, F.inline(F.concat(whole, *sides)))
         .join(known.withColumn("held", F.lit(True)), "term", "left")
         .where("held or term is null")
     )
     signed = hits.groupBy(*group).agg(
         F.sort_array(F.collect_list(F.when(F.col("side") == 0, F.col("term")))).alias("own"),
         F.sort_array(F.collect_list(F.when(F.col("side") == 1, F.col("term")))).alias("new"),
+        F.first("all_own", ignorenulls=True).alias("all_own"),
+        F.first("all_new", ignorenulls=True).alias("all_new"),
     )
-    signed = signed.select("range", "guest", "place", "doc_id", "n_chars", "edited_sha256", signatures(F.col("own"), F.col("own_whole")).alias("signature"), signatures(F.col("new"), F.col("new_whole")).alias("edited_signature"))
+    or_all = lambda held, every: F.when(F.size(held) > 0, F.col(held)).otherwise(F.sort_array(every)).alias(held)
+    signed = signed.select(*group, or_all("own", "all_own"), or_all("new", "all_new"))
+    signed = signed.select(*group, signatures(F.col("own")).alias("signature"), signatures(F.col("new")).alias("edited_signature"))
     following = F.lead("signature").over(Window.partitionBy("range").orderBy("place"))
     return signed.withColumn("next_signature", following).where("not guest").drop("range", "guest", "place")
 
