@@ -5,7 +5,8 @@ at text word p and template word t lies on the diagonal p - t; a template that s
 many hits on one diagonal. Hits, which are few, are dealt out by text in the one shuffle and counted by diagonal; diagonals
 of a long template that lie next to each other (a word more or less in between) are merged; and a
 span counts if the grams matched, which the join compares word by word beside their hashes, cover
-enough of the template: all of it for a phrase, four fifths for a notice.
+enough of the template: every gram of a phrase, four fifths of the words of a notice, whichever of the
+merged diagonals they are matched on.
 
 Cases: a null or empty text has no words, places or labels and scores 0; a phrase that a line break or
 punctuation cuts still stands, since only words count; two labels may tie and are both given; repeated
@@ -115,7 +116,7 @@ def spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataF
     votes = (
         hits.repartition("row")
         .groupBy("row", "doc_id", "n_words", "template", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
-        .agg(F.count("template").alias("votes"), F.min("t_pos").alias("lo"), F.max("t_pos").alias("hi"), F.first("n_grams").alias("n_grams"))
+        .agg(F.count("template").alias("votes"), F.min("t_pos").alias("lo"), F.max("t_pos").alias("hi"), F.first("n_grams").alias("n_grams"), F.collect_set("t_pos").alias("places"))
     )
 
     def of_template(values: list) -> Column:
@@ -125,13 +126,15 @@ def spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataF
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.when(phrase, F.lit(1)).when(F.col("diagonal") - F.lag("diagonal").over(along) <= DIAGONAL_GAP, 0).otherwise(1)
     k = F.when(phrase, 2).otherwise(NOTICE_GRAM)
+    covered = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("places")), lambda p: F.sequence(p, p + (NOTICE_GRAM - 1)))))
+    of_grams = F.least(F.lit(1.0), F.sum("votes") / F.first("n_grams"))
     merged = (
         votes.withColumn("phrase", phrase)
         .withColumn("apart", apart)
         .withColumn("place", F.sum("apart").over(along))
         .groupBy("row", "doc_id", "n_words", "template", "phrase", "place")
         .agg(
-            F.least(F.lit(1.0), F.sum("votes") / F.first("n_grams")).alias("cover"),
+            F.when(F.first("phrase"), of_grams).otherwise(F.size(covered) / (F.first("n_grams") + (NOTICE_GRAM - 1))).alias("cover"),
             F.min(F.col("diagonal") + F.col("lo")).alias("first"),
             F.max(F.col("diagonal") + F.col("hi") + k).alias("last_end"),
         )

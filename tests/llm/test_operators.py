@@ -49,6 +49,21 @@ def test_license_notice_with_changes(spark):
     assert got[1].labels == "mit" and 0.8 <= got[1].score < 1 and got[2].labels == "" and got[3].n_base == 0
 
 
+def test_license_notice_with_one_word_changed(spark):
+    rows, want = [], {}
+    for t in (t for t in licenses.TEMPLATES if not t.phrase):
+        words = t.text.split()
+        at = len(words) // 2
+        for changed in (words[:at] + ["other"] + words[at + 1 :], words[:at] + ["other"] + words[at:], words[:at] + words[at + 1 :]):
+            want[len(rows)] = t.label
+            rows.append((len(rows), "before it " + " ".join(changed) + " after it"))
+        want[len(rows)] = ""  # one half, twice: no more of the notice than once
+        rows.append((len(rows), " ".join(words[:at] + ["or"] + words[:at])))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == want
+    assert all(0.8 <= r.score <= 1 for r in got if r.labels)
+
+
 # --- language model ----------------------------------------------------------------------------
 
 
@@ -281,6 +296,23 @@ def test_imatch(docs, no_docs):
     assert imatch.fingerprints(no_docs).count() == 0
 
 
+def test_imatch_with_a_large_group_of_copies(spark):
+    group = " ".join(f"group{i}" for i in range(90))
+    others = [" ".join(f"w{(7 * k + i) % 400}" for i in range(60)) for k in range(60)]
+    rows = [(i, group) for i in range(30)] + [(100 + i, t) for i, t in enumerate(others)] + [(500, "lone terms of one text " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.term for r in imatch.lexicon(docs).collect()} == {r.term for r in imatch.lexicon(docs.dropDuplicates(["text"])).collect()}
+    near = [r for r in imatch.fingerprints(docs).collect() if r.doc_id < 29]
+    assert all(r.near_edited > 0.1 for r in near) and len({r.fingerprint for r in near}) == 1
+
+
+def test_imatch_subsets_of_a_text_without_a_lexicon_term(spark):
+    common = " ".join(f"word{i}" for i in range(80))  # in every text, so none of it is in the lexicon
+    docs = spark.createDataFrame([(k, common + f" n{k}" * (k > 0)) for k in range(60)], "doc_id long, text string").repartition(3)
+    (bare,) = (r.signature for r in imatch.fingerprint_with_neighbours(docs).collect() if r.doc_id == 0)
+    assert sum(x is not None for x in bare[1:]) > 10
+
+
 # --- byte-level BPE ----------------------------------------------------------------------------
 
 
