@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotline.llm.common import kept
 from plotline.llm.units import SPACE, Memo, bound_batches, texts_of
 
 
@@ -43,9 +44,6 @@ def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-KNOWN_PRETOKENS = 300_000
-
-
 class PerfectHash:
     """A minimal perfect hash by hash-and-displace: n keys in n slots.
 
@@ -121,14 +119,11 @@ class Encoder:
         self.tokens, self.table = tokens, table
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, bytes] = {}  # pre-tokens met before, up to a bound
 
     def __call__(self, units: list[str]) -> list[bytes]:
-        if len(self.known) > KNOWN_PRETOKENS:
-            self.known.clear()
-        known = self.known
+        known: dict[str, bytes] = {}
         split = list(map(self.pattern.findall, units))
-        fresh = list({x for parts in split for x in parts if x not in known})
+        fresh = list({x for parts in split for x in parts})
         if fresh:
             words = [x.encode("utf-8", "replace") for x in fresh]
             tokens, ranks = self.tokens, self.ranks
@@ -138,22 +133,16 @@ class Encoder:
                 else:
                     ids = merge(word, ranks)
                     known[text] = struct.pack(f"<{len(ids)}I", *ids)
-        out = [known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts)) for parts in split]
-        for x in fresh:
-            if len(x) > 200:
-                del known[x]
-        return out
-
-
-_memos: dict[tuple, Memo] = {}
+        return [known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts)) for parts in split]
 
 
 def _memo(model) -> Memo:
     tokens, pattern, table, key = model.value
-    if key not in _memos:
-        _memos.clear()
-        _memos[key] = Memo(Encoder(tokens, pattern, table))
-    return _memos[key]
+    memos = kept("bpe")
+    if key not in memos:
+        memos.clear()
+        memos[key] = Memo(Encoder(tokens, pattern, table))
+    return memos[key]
 
 
 def list_column(parts: list[bytes], kind: str = "int32") -> pa.Array:
@@ -162,12 +151,18 @@ def list_column(parts: list[bytes], kind: str = "int32") -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.type_for_alias(kind), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))]))
 
 
-def _encode(batches: Iterator[pa.RecordBatch], model, text: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], model, at: int) -> Iterator[pa.RecordBatch]:
     memo = _memo(model)
     for batch in batches:
-        ids = list_column(list(memo.encode_all(texts_of(batch.column(text)))))
-        kept = [n for n in batch.schema.names if n != text]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), ids], [*kept, "ids"])
+        ids = list_column(list(memo.encode_all(texts_of(batch.column(at)))))
+        rest = [i for i in range(batch.num_columns) if i != at]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, rest), ids], [*(batch.schema.names[i] for i in rest), "ids"])
+
+
+def _round_trip(batches: Iterator[pa.RecordBatch], model, at: int) -> Iterator[pa.RecordBatch]:
+    """Encode and decode in one worker, where two steps would keep two for each task."""
+    for batch in _encode(batches, model, at):
+        yield from _decode(iter([batch]), model, "ids")
 
 
 def _decode(batches: Iterator[pa.RecordBatch], model, ids: str) -> Iterator[pa.RecordBatch]:
@@ -200,17 +195,26 @@ class ByteBPE:
     def encode(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` with ``ids array<int>`` in place of the text column."""
         docs = docs.drop("ids")
-        kept = [f for f in docs.schema.fields if f.name != text]
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids array<int>"])
-        return docs.mapInArrow(partial(_encode, model=self.model, text=text), schema)
+        schema = ", ".join([*_fields(docs, text), "ids array<int>"])
+        return docs.mapInArrow(partial(_encode, model=self.model, at=docs.columns.index(text)), schema)
+
+    def round_trip(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """``docs`` with ``ids array<int>`` and, decoded from them, ``decoded binary`` in place of the text column."""
+        docs = docs.drop("ids", "decoded")
+        schema = ", ".join([*_fields(docs, text), "ids array<int>", "decoded binary"])
+        return docs.mapInArrow(partial(_round_trip, model=self.model, at=docs.columns.index(text)), schema)
 
     def decode(self, encoded: DataFrame, ids: str = "ids") -> DataFrame:
         """``encoded`` with ``decoded binary`` added."""
         encoded = encoded.drop("decoded")
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields), "decoded binary"])
+        schema = ", ".join([*_fields(encoded), "decoded binary"])
         return encoded.mapInArrow(partial(_decode, model=self.model, ids=ids), schema)
 
 
+def _fields(df: DataFrame, but: str | None = None) -> list[str]:
+    return [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != but]
+
+
 def digests(decoded: DataFrame, *more: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded and decoded rows, and columns asked for."""
     return decoded.select(

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import math
 import os
 import pickle
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +15,7 @@ from collections.abc import Callable, Iterator
 from functools import partial
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,13 +31,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the session names none (tests on one machine), a temporary folder takes its place.
+    Where the session names none, a temporary folder takes its place on a ``local`` master, whose driver
+    and executor are one process; on a cluster that is an error, since no folder is known to be shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "plotline-shared")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/plotline-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/plotline-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_written: dict[str, list[str]] = {}
+
+
+def drop_shared(spark: SparkSession) -> int:
+    """Delete the tables that this application has written below the shared folder; results still unread are lost.
+
+    For a job's end: the library can't tell when a lazy result has been read for the last time.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What ``owner`` remembers in this Python worker. Workers are reused, so all that others remember is dropped."""
+    if owner not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)  # else the freed pages stay with the worker
+        _kept[owner] = {}
+    return _kept[owner]
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -78,11 +118,36 @@ def _in_task(batches: Iterator[pa.RecordBatch], work: Callable[[list], object])
 
 
 def fit_in_task(sample: DataFrame, work: Callable[[list], object]) -> object:
-    """``work`` over the values of a bounded one-column sample, in one task, where numpy keeps to one core."""
-    found = sample.coalesce(1).mapInArrow(partial(_in_task, work=work), "result binary").first()
+    """``work`` over the values of a bounded one-column sample, in one task, where numpy keeps to one core.
+
+    The sample is shuffled to that task, so that what it is chosen from is read in parallel.
+    """
+    found = sample.repartition(1).mapInArrow(partial(_in_task, work=work), "result binary").first()
     return pickle.loads(found.result) if found else work([])  # an empty table may have no task at all
 
 
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for x in batch.column(0):
+            part = np.frombuffer(x.as_buffer(), np.float64)
+            total = part.copy() if total is None else np.add(total, part, out=total)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+
+def summed(parts: DataFrame) -> np.ndarray | None:
+    """The sum of equally long float64 arrays, one binary value in each row; None for no rows.
+
+    They are added up in the tasks over three levels, so that neither a task nor the driver meets them all.
+    """
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for width in (n, math.isqrt(n), 1):
+        parts = parts.repartition(max(1, width)).mapInArrow(_add, "part binary")
+    found = parts.first()
+    return np.frombuffer(found.part, np.float64) if found else None
+
+
 def unused_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

@@ -26,6 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotline.llm.common import kept
 from plotline.llm.units import bound_batches
 
 ERROR_RATE = 0.06
@@ -113,15 +114,13 @@ class Matcher:
         return [(self.items[k][0], d, self.items[k][2]) for k, d in sorted(best.items())]
 
 
-_matchers: dict[str, Matcher] = {}
-
-
 def _matcher(block) -> Matcher:
     key, items, error_rate = block.value
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher(items, error_rate)
-    return _matchers[key]
+    matchers = kept("decontamination")
+    if key not in matchers:
+        matchers.clear()
+        matchers[key] = Matcher(items, error_rate)
+    return matchers[key]
 
 
 def blocks(items: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.common import fit_in_task
+from plotline.llm.common import fit_in_task, kept
 from plotline.llm.units import bound_batches, texts_of
 
 #: Kinds in their listed order, and the patterns of the base kinds (fixed values).
@@ -40,7 +40,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 WINDOW, OVERLAP = 192, 16
 _NONDIGIT = re.compile(r"[^0-9]+")
-_MEMO = 300_000
+_MEMO, _MEMO_CHARACTERS = 150_000, 8_000_000  # words remembered in a worker
 Span = tuple[int, int, int]  # start, kind, end
 
 
@@ -53,17 +53,20 @@ def luhn(digits: str) -> bool:
 
 
 def base_spans(text: str) -> list[Span]:
-    """Spans of the four patterns, leftmost and non-overlapping within a kind; failing matches are dropped."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in _near(text, "@", EMAIL)]
-    for m in IP.finditer(text):
+    """Spans of the four patterns, leftmost and non-overlapping within a kind; failing matches are dropped.
+
+    Each takes time in proportion to the text: an address is looked for from its sign, and a number from
+    its first digit only, since a match from a later digit would have been one from the first.
+    """
+    out = _emails(text) if "@" in text else []
+    for m in _IP_RUN.finditer(text):
         if all(int(p) <= 255 if len(p) < 40 else not p.lstrip("0") for p in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
-        digits = _NONDIGIT.sub("", m[0])
-        if 12 <= len(digits) <= 19 and luhn(digits):
-            out.append((m.start(), 2, m.end()))
+        if m.end() - m.start() >= 12:
+            digits = _NONDIGIT.sub("", m[0])
+            if 12 <= len(digits) <= 19 and luhn(digits):
+                out.append((m.start(), 2, m.end()))
     if "+" in text:
         for m in PHONE.finditer(text):
             if 9 <= len(_NONDIGIT.sub("", m[0])) <= 15:
@@ -71,16 +74,22 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def _near(text: str, sign: str, pattern: re.Pattern) -> Iterator[re.Match]:
-    """Matches of a pattern that has ``sign`` and no white space: only runs that hold the sign are searched."""
-    end = 0
-    while (at := text.find(sign, end)) >= 0:
+_IP_RUN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # IP, from the first digit of a run
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+
+
+def _emails(text: str) -> list[Span]:
+    """Matches of EMAIL: the run of local characters before each sign, with a domain behind it."""
+    out, end, at = [], 0, text.find("@")
+    while at >= 0:
         start = at
-        while start > end and not text[start - 1].isspace():
+        while start > end and text[start - 1] in _LOCAL:
             start -= 1
-        run = re.compile(r"\s").search(text, at)
-        end = run.start() if run else len(text)
-        yield from pattern.finditer(text, start, end)
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            out.append((start, 0, end := m.end()))
+        at = text.find("@", max(at + 1, end))
+    return out
 
 
 # --- word features -----------------------------------------------------------------------------
@@ -276,12 +285,13 @@ class _Words(dict):
     """Word -> number, whose emissions are filled in for all new words at once."""
 
     def __init__(self, field: Field):
-        self.field, self.new = field, []
+        self.field, self.new, self.characters = field, [], 0
         self.table = np.zeros((0, 3, LABELS), np.float32)
 
     def __missing__(self, word: str) -> int:
         self[word] = at = len(self)
         self.new.append(word)
+        self.characters += len(word)
         return at
 
     def emissions(self) -> np.ndarray:
@@ -307,7 +317,7 @@ class Finder:
 
     def labels(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
         """Words, their starts in code points, and their labels, for each text."""
-        if len(self.words) > _MEMO:
+        if len(self.words) > _MEMO or self.words.characters > _MEMO_CHARACTERS:
             self.words = _Words(self.field)
         split, ids, line_of, line = [], [], [], 0
         for text in texts:
@@ -364,8 +374,13 @@ class Finder:
 
     def spans(self, texts: list[str]) -> Iterator[list[Span]]:
         """All spans of each text: the base ones, and the field's that neither overlap them nor look wrong."""
+        for _, every in self.both(texts):
+            yield every
+
+    def both(self, texts: list[str]) -> Iterator[tuple[list[Span], list[Span]]]:
+        """The base spans of each text, and all its spans."""
         for text, (pieces, starts, full, labels) in zip(texts, self.labels(texts), strict=True):
-            found = base_spans(text)
+            base = found = base_spans(text)
             marked = np.flatnonzero(labels)
             if len(marked):
                 where = np.flatnonzero(full)[marked]
@@ -377,8 +392,19 @@ class Finder:
                     else:
                         runs.append([a, kind, b, i])
                 own = [s for a, kind, b, _ in runs if (s := _trimmed(text, a, kind, b))]
-                found = sorted(found + [s for s in own if not any(s[0] < y and x < s[2] for x, _, y in found)])
-            yield found
+                found = sorted(base + _apart(own, base))
+            yield base, found
+
+
+def _apart(own: list[Span], base: list[Span]) -> list[Span]:
+    """Those of ``own`` that share no character with any of ``base``; both are sorted by start."""
+    out, k, reach = [], 0, 0
+    for s in own:
+        while k < len(base) and base[k][0] < s[2]:
+            reach, k = max(reach, base[k][2]), k + 1
+        if reach <= s[0]:
+            out.append(s)
+    return out
 
 
 def _trimmed(text: str, a: int, kind: int, b: int) -> Span | None:
@@ -400,15 +426,13 @@ def _trimmed(text: str, a: int, kind: int, b: int) -> Span | None:
     return (a, kind, b) if fits else None
 
 
-_finders: dict[str, Finder] = {}
-
-
 def _finder(model) -> Finder:
     key, field = model.value
-    if key not in _finders:
-        _finders.clear()
-        _finders[key] = Finder(field)
-    return _finders[key]
+    finders = kept("pii")
+    if key not in finders:
+        finders.clear()
+        finders[key] = Finder(field)
+    return finders[key]
 
 
 def _model(spark, table: list[list[tuple[str, int]]] | None):
@@ -426,8 +450,7 @@ def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     finder = _finder(model)
     for batch in batches:
         texts = list(texts_of(batch.column("text")))
-        every = list(finder.spans(texts))
-        base = [base_spans(t) for t in texts]
+        base, every = zip(*finder.both(texts), strict=True) if texts else ((), ())
         counts = [pa.array([sum(k == kind for _, k, _ in b) for b in base], pa.int64()) for kind in range(len(BASE))]
         digest = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b in base])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digest, pa.array(map(_joined, every), pa.string())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])

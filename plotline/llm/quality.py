@@ -20,6 +20,7 @@ kept by the filter, whatever their names.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -39,7 +40,7 @@ ROUNDS = 3
 CONFIDENT = 0.97
 REJECT_TOXIC = 0.35
 _STRIP = "\"'.,;:!?()[]{}<>|-*#%&$"
-_MEMO = 300_000
+_MEMO = 200_000
 TARGETS = ("quality", "toxic")
 
 
@@ -55,7 +56,6 @@ class _Buckets(dict):
         return at
 
 
-_buckets = _Buckets()
 _CLASSES = np.zeros(256, np.intp)
 _CLASSES[list(range(65, 91))], _CLASSES[list(range(48, 58))], _CLASSES[[10]] = 1, 2, 3
 _CLASSES[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,'\"-"]] = 4
@@ -63,7 +63,9 @@ _CLASSES[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".
 
 def content(text: str) -> np.ndarray:
     """The distinct word buckets of a text, sorted."""
-    return np.unique(np.fromiter(map(_buckets.__getitem__, text.split()), np.int32))
+    memo = kept("quality")
+    buckets = memo.get("buckets") or memo.setdefault("buckets", _Buckets())
+    return np.unique(np.fromiter(map(buckets.__getitem__, set(text.split())), np.int32))
 
 
 def metadata(text: str, lang: str | None, source: str | None) -> np.ndarray:
@@ -71,9 +73,10 @@ def metadata(text: str, lang: str | None, source: str | None) -> np.ndarray:
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     counts, words = np.bincount(_CLASSES[raw], minlength=5), text.split()
     n, w = max(1, len(raw)), max(1, len(words))
-    longest = max((words.count(x) for x in words[:3]), default=0)
+    often = Counter(words)
+    longest = max(often.values(), default=0)
     out = np.zeros(_WIDTH, np.float32)
-    out[:9] = (1, np.log1p(len(raw)) / 8, counts[1] / n * 4, counts[2] / n * 4, counts[3] / n * 20, counts[4] / n * 4, len(set(words)) / w, min(2.0, n / w / 8), min(1.0, longest / w))
+    out[:9] = (1, np.log1p(len(raw)) / 8, counts[1] / n * 4, counts[2] / n * 4, counts[3] / n * 20, counts[4] / n * 4, len(often) / w, min(2.0, n / w / 8), min(1.0, longest / w))
     out[9 + zlib.crc32(f"lang:{lang}".encode()) % 16] = 0.5
     out[25 + zlib.crc32(f"source:{source}".encode()) % 64] = 0.5
     return out

@@ -44,7 +44,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     coder = bpe.ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(coder.decode(coder.encode(docs)))
+    return bpe.digests(coder.round_trip(docs))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ attempt of a task; the manifest, written by Spark's own commit, says which ones
 speculative task leaves files that nothing reads.
 
 Cases: a null or empty text is a document of the end id alone; null ids come first; rows with the same
-id stand beside each other, in any order; an empty table writes no files and reads back no rows.
+id stand beside each other, in order of a hash of their texts; an empty table writes no files and reads back no rows.
 """
 
 from __future__ import annotations
@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plotline.llm.common import materialize, shared_dir
+from plotline.llm.common import kept, materialize, shared_dir
 from plotline.llm.units import Memo, bound_batches, texts_of
 
 MAGIC = b"PLANES01"
 CHUNK_IDS = 1 << 16
 FILE_IDS = 1 << 26
+FILE_DOCS = 1 << 20  # the index of a file is held in memory while it is written and read
 _FOOTER = struct.Struct("<QQQQ")  # index offset, index bytes, chunks, documents
 
 
@@ -103,9 +104,6 @@ def read_planes(source) -> Iterator[tuple[int | None, int, np.ndarray]]:
         held, n_held, start = [ids[length:]], n_held - length, start + length
 
 
-_memos: dict[str, Memo] = {}
-
-
 def _encoder(path: str):
     """Encode many units by one call: joined by the spaces they begin with, and cut where a token begins with one."""
     from tokenizers import Tokenizer
@@ -141,9 +139,10 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, folde
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if tokenizer not in _memos:
-        _memos[tokenizer] = Memo(_encoder(tokenizer))
-    memo, part = _memos[tokenizer], TaskContext.get().partitionId()
+    memos = kept("token files")
+    if tokenizer not in memos:
+        memos[tokenizer] = Memo(_encoder(tokenizer))
+    memo, part = memos[tokenizer], TaskContext.get().partitionId()
     fs, base = pafs.FileSystem.from_uri(folder)
     done, writer, path, end = [], None, "", np.array([end_id], "<u4").tobytes()
 
@@ -158,7 +157,7 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, folde
                 fs.create_dir(base, recursive=True)
                 writer = PlaneWriter(fs.open_output_stream(f"{base}/{path}"))
             writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
-            if writer.ids >= FILE_IDS:
+            if writer.ids >= FILE_IDS or len(writer.docs) >= FILE_DOCS:
                 finish()
                 writer = None
     if writer is not None:
@@ -171,13 +170,14 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, folde
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
     """Write ``doc_id, text`` rows as token files; the manifest ``path, n_docs, n_ids, start`` comes back.
 
-    Texts are dealt out once, by ranges of ``doc_id``, and encoded where they are written. ``start`` is
+    Texts are dealt out once, by ranges of ``doc_id`` and, so that rows of one id spread, of a hash of the text
+    and the row's number, and encoded where they are written. ``start`` is
     a running sum over the manifest, which has a row for each file.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     folder = folder or shared_dir(spark)
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("of_text"), F.monotonically_increasing_id().alias("row")).repartitionByRange("doc_id", "of_text", "row").sortWithinPartitions("doc_id", "of_text", "row")
     schema = "part int, seq int, path string, n_docs long, n_ids long"
     files = materialize(ordered.mapInArrow(partial(_write, tokenizer=tokenizer, end_id=end_id, folder=folder), schema))
     before = F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))

@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _EDGE = re.compile(f"^[{SPACE}]|[{SPACE}]$|^$")
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 200_000
 _LONG = 200  # longer units are encoded anew each time, so that the memo's size is bounded
 _CHUNK = 1 << 20  # characters split at once
 _PUNCTUATION = ".,;:!?%$&*#|\"')("  # after letters, a run of these is a pre-token of its own
