@@ -38,7 +38,7 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids`` of every document that is left."""
     ship(spark)
     coder = bpe.ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.digests(coder.decode(coder.encode(docs.select("doc_id", "text"))), "ids")
+    return bpe.digests(coder.round_trip(docs.select("doc_id", "text")), "ids")
 
 
 STAGES = [
