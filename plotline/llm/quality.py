@@ -2,19 +2,21 @@
 
 Content: which telling words a text has, hashed to a fixed number of buckets. Metadata: language, source,
 length and layout (lines, shares of capitals, digits, symbols and distinct words). One classifier for
-each view is fitted on labelled rows; over a few rounds each labels, where it is confident, rows of an
-unlabelled pool for the other. Each view is then calibrated on labelled rows held out from fitting, and
-a logistic model of the two calibrated views scores every document. The same is done for toxicity;
-documents of low quality and toxic ones are rejected.
-
-Fitting reads at most about MAX_LABELLED labelled rows and MAX_POOL others, chosen by a hash of their
-ids; these bounds are parameters. Scoring covers all rows, whole texts, without a shuffle.
-
-Cases: null and empty texts have no words and are scored by their metadata; null language and source
-are levels of their own; labels of unknown ids and null labels are left out; without labels of both
-kinds a target scores 0.5 throughout and rejects nothing; repeated rows are scored each by itself, but
-an id teaches by its smallest text alone; an empty table gives no rows; all columns of the input are
-kept by the filter, whatever their names.
+each view is fitted on labelled rows. Then, round after round, each view labels all unlabelled documents;
+those it is confident of teach the other view, by a Newton step whose gradient and curvature are summed over
+the whole table in its tasks, so that nothing of it is sampled or gathered. Both pseudo-labels have the same
+say, and all of them together PSEUDO_WEIGHT of the say of the labelled rows. Each view is then calibrated on
+labelled rows held out from fitting, and a logistic model of the two calibrated views scores every document.
+The same is done for toxicity; documents of low quality and toxic ones are rejected.
+
+Fitting reads at most MAX_LABELLED labelled rows, those whose ids have the least hashes; the bound is a
+parameter. Everything else covers all rows and whole texts; scoring needs no shuffle.
+
+Cases: null and empty texts have no words and are scored by their metadata; null language and source, or
+tables without these columns, are levels of their own; labels of unknown ids and null labels are left out;
+without labels of both kinds a target scores 0.5 throughout and rejects nothing; repeated rows are scored
+each by itself, but a labelled id teaches by its smallest text alone; an empty table gives no rows; all
+columns of the input are kept by the filter, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotline.llm.common import fit_in_task, kept, materialize, summed
 from plotline.llm.units import bound_batches
 
 BUCKETS = 1 << 18
 MAX_LABELLED = 20_000
-MAX_POOL = 10_000
+PSEUDO_WEIGHT = 0.3
 TELLING_WORDS = 200
 ROUNDS = 3
 CONFIDENT = 0.97
@@ -126,15 +129,6 @@ def telling(x: Sparse, y: np.ndarray, words: int = TELLING_WORDS) -> np.ndarray:
     return np.sort(best[g[best] > 4])
 
 
-def fit_content(x: Sparse, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of the telling words, by ridge logistic regression on their presence."""
-    columns = telling(x, y)
-    w = fit_dense(x.dense(columns), y, weight, 3e-4)
-    out = np.zeros(BUCKETS, np.float32)
-    out[columns] = w[1:]
-    return out, float(w[0])
-
-
 def fit_dense(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Ridge logistic regression by Newton's method."""
     w = np.zeros(x.shape[1])
@@ -155,14 +149,16 @@ class View:
     """The fitted and calibrated pair of views of one target; ``known`` is False where labels lack a kind."""
 
     known: bool = False
-    words: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32))
-    words_bias: float = 0.0
+    columns: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    words: np.ndarray = field(default_factory=lambda: np.zeros(1))  # bias, then a weight for each column
     page: np.ndarray = field(default_factory=lambda: np.zeros(_WIDTH))
     blend: np.ndarray = field(default_factory=lambda: np.zeros(3))
     calibrations: list[np.ndarray] = field(default_factory=lambda: [np.zeros(2)] * 2)
 
     def raw(self, buckets: Sparse, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return buckets.dot(self.words) + self.words_bias, page @ self.page
+        of_bucket = np.zeros(BUCKETS, np.float32)
+        of_bucket[self.columns] = self.words[1:]
+        return buckets.dot(of_bucket) + self.words[0], page @ self.page
 
     def score(self, buckets: Sparse, page: np.ndarray) -> np.ndarray:
         if not self.known:
@@ -182,84 +178,153 @@ def _balanced(y: np.ndarray) -> np.ndarray:
     return np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
 
 
-def co_train(labelled: tuple[list[np.ndarray], np.ndarray, np.ndarray], pool: tuple[list[np.ndarray], np.ndarray], rounds: int = ROUNDS, confident: float = CONFIDENT) -> View:
-    """Fit both views on four fifths of ``labelled`` (buckets, pages, 0/1) and confident pool rows; calibrate on the rest."""
-    rows, pages, y = labelled
-    if len(set(y.tolist())) < 2:
+class Labelled:
+    """Labelled rows of one target, four fifths to fit on and the rest to calibrate by."""
+
+    def __init__(self, rows: list[np.ndarray], pages: np.ndarray, y: np.ndarray):
+        held = np.arange(len(y)) % 5 == 0
+        if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
+            self.fit = self.held = np.arange(len(y))  # too few labels to hold any out
+        else:
+            self.fit, self.held = np.flatnonzero(~held), np.flatnonzero(held)
+        self.known = len(set(y.tolist())) == 2
+        self.y, self.pages = y, pages
+        self.x, self.held_x = Sparse([rows[i] for i in self.fit]), Sparse([rows[i] for i in self.held])
+
+    def calibrate(self, view: View) -> View:
+        y, raw = self.y[self.held], view.raw(self.held_x, self.pages[self.held])
+        view.calibrations = [fit_dense(np.stack([np.ones(len(z)), z], axis=1), y, np.ones(len(y)), 1e-4) for z in raw]
+        view.blend = fit_dense(_pair(*(_calibrated(z, c) for z, c in zip(raw, view.calibrations, strict=True))), y, np.ones(len(y)), 1e-4)
+        return view
+
+
+def begin(data: Labelled) -> View:
+    """Both views, fitted on labelled rows alone."""
+    if not data.known:
         return View()
-    held = np.arange(len(y)) % 5 == 0
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held = np.ones(len(y), bool)  # too few labels to hold any out
-    fit = np.flatnonzero(~held) if not held.all() else np.arange(len(y))
-    held_x = Sparse([r for r, h in zip(rows, held, strict=True) if h])
-    pool_x, view = Sparse(pool[0]), View(known=True)
-    extra_words, extra_page = {}, {}  # pool row -> pseudo-label given by the other view
-    for turn in range(rounds):
-        k = np.fromiter(extra_words, int, len(extra_words))
-        wy = np.concatenate([y[fit], [extra_words[i] for i in k]])
-        weight = np.concatenate([_balanced(y[fit]), np.full(len(k), 0.3)])
-        view.words, view.words_bias = fit_content(Sparse([*(rows[i] for i in fit), *(pool[0][i] for i in k)]), wy, weight)
-        k = np.fromiter(extra_page, int, len(extra_page))
-        py = np.concatenate([y[fit], [extra_page[i] for i in k]])
-        weight = np.concatenate([_balanced(y[fit]), np.full(len(k), 0.3)])
-        view.page = fit_dense(np.concatenate([pages[fit], pool[1][k]]) if len(k) else pages[fit], py, weight)
-        raw = view.raw(held_x, pages[held])
-        view.calibrations = [fit_dense(np.stack([np.ones(len(z)), z], axis=1), y[held], np.ones(held.sum()), 1e-4) for z in raw]
-        if turn + 1 < rounds and pool[0]:
-            for z, c, extra in zip(view.raw(pool_x, pool[1]), view.calibrations, (extra_page, extra_words), strict=True):
-                p = _sigmoid(_calibrated(z, c))
-                extra.update((int(i), 1.0) for i in np.flatnonzero(p >= confident))
-                extra.update((int(i), 0.0) for i in np.flatnonzero(p <= 1 - confident))
-    pair = _pair(*(_calibrated(z, c) for z, c in zip(view.raw(held_x, pages[held]), view.calibrations, strict=True)))
-    view.blend = fit_dense(pair, y[held], np.ones(held.sum()), 1e-4)
-    return view
-
-
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    y, view = data.y[data.fit], View(known=True, columns=telling(data.x, data.y[data.fit]))
+    view.words = fit_dense(data.x.dense(view.columns), y, _balanced(y), RIDGE[0])
+    view.page = fit_dense(data.pages[data.fit], y, _balanced(y), RIDGE[1])
+    return data.calibrate(view)
+
+
+RIDGE = (3e-4, 1e-3)  # of the content and of the metadata view
+
+
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the weighted likelihood at ``w``."""
+    p = _sigmoid(x @ w)
+    return x.T @ (weight * (p - y)), (x * (weight * p * (1 - p))[:, None]).T @ x
+
+
+def statistics(view: View, buckets: Sparse, page: np.ndarray, confident: float = CONFIDENT) -> list[np.ndarray]:
+    """What unlabelled rows teach: for each view and each pseudo-label that the other view gives, the number
+    of rows, and the gradient and curvature at the view's weights."""
+    sure = [_sigmoid(_calibrated(z, c)) for z, c in zip(view.raw(buckets, page), view.calibrations, strict=True)]
+    out = []
+    for x, w, p in ((buckets.dense(view.columns), view.words, sure[1]), (page, view.page, sure[0])):
+        for kind, rows in enumerate((p <= 1 - confident, p >= confident)):
+            g, h = _curve(x[rows], np.full(rows.sum(), float(kind)), np.ones(rows.sum()), w)
+            out += [np.array([rows.sum()]), g, h.reshape(-1)]
+    return out
+
+
+def step(view: View, data: Labelled, taught: np.ndarray) -> View:
+    """One round: a Newton step of each view on labelled rows and on what the other view teaches it."""
+    y, at, new = data.y[data.fit], 0, []
+    for x, w, ridge in ((data.x.dense(view.columns), view.words, RIDGE[0]), (data.pages[data.fit], view.page, RIDGE[1])):
+        g, h = _curve(x, y, _balanced(y) / len(y), w)
+        for _ in range(2):
+            n, size = taught[at], len(w)
+            weight = PSEUDO_WEIGHT / 2 / max(n, 1.0)
+            g += weight * taught[at + 1 : at + 1 + size]
+            h += weight * taught[at + 1 + size : at + 1 + size + size * size].reshape(size, size)
+            at += 1 + size + size * size
+        move = np.linalg.solve(h + ridge * np.eye(len(w)), g + ridge * w)
+        new.append(w - move / max(1.0, np.abs(move).max() / 2))  # no weight moves by more than 2
+    view.words, view.page = new
+    return data.calibrate(view)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels (-1 for none), page and words of each row, as bytes."""
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        rows = pa.array([content(t) for t in texts], pa.list_(pa.int32()))
-        pages = [metadata(*x) for x in zip(texts, batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("toxic"), rows, pa.array(pages, pa.list_(pa.float32()))], ["quality", "toxic", "words", "page"])
+        rows = zip(*(batch.column(c).to_pylist() for c in ("quality", "toxic", "text", "lang", "source")), strict=True)
+        out = [np.array([-1 if v is None else v for v in (q, t)], "<i4").tobytes() + metadata(x or "", a, b).tobytes() + content(x or "").tobytes() for q, t, x, a, b in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["row"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> dict[str, View]:
-    """One co-trained view pair for each target, from samples of the stated size."""
-    bound_batches(docs.sparkSession)
-    by = F.abs(F.xxhash64(F.col("doc_id").cast("long")))
+def _labelled(rows: list[bytes]) -> dict[str, Labelled]:
+    rows = sorted(rows)  # the same split whatever the order of rows
+    labels = np.array([np.frombuffer(r, "<i4", 2) for r in rows]).reshape(-1, 2)
+    pages = np.array([np.frombuffer(r, "<f4", _WIDTH, 8) for r in rows], np.float64).reshape(-1, _WIDTH)
+    words = [np.frombuffer(r, "<i4", -1, 8 + 4 * _WIDTH) for r in rows]
+    out = {}
+    for k, target in enumerate(TARGETS):
+        has = np.flatnonzero(labels[:, k] >= 0)
+        out[target] = Labelled([words[i] for i in has], pages[has], labels[has, k].astype(float))
+    return out
+
+
+def _begin(rows: list[bytes]) -> dict[str, View]:
+    return {t: begin(data) for t, data in _labelled(rows).items()}
+
+
+def _step(rows: list[bytes], views: dict[str, View], taught: np.ndarray) -> dict[str, View]:
+    at = 0
+    for t, data in _labelled(rows).items():
+        if views[t].known:
+            size = sum(2 * (1 + len(w) + len(w) ** 2) for w in (views[t].words, views[t].page))
+            views[t] = step(views[t], data, taught[at : at + size])
+            at += size
+    return views
+
+
+def _read(batch: pa.RecordBatch, at: list[int]) -> tuple[Sparse, np.ndarray]:
+    texts = [t or "" for t in batch.column(at[0]).to_pylist()]
+    origin = [batch.column(i).to_pylist() if i >= 0 else [None] * len(texts) for i in at[1:3]]
+    return Sparse([content(t) for t in texts]), np.array([metadata(*x) for x in zip(texts, *origin, strict=True)], np.float64).reshape(-1, _WIDTH)
 
-    def sample(df: DataFrame, bound: int) -> DataFrame:
-        n = df.count()
-        return df.where(by % F.lit(1_000_000) < int(1_000_000 * min(1.0, bound / max(n, 1))))
 
+def _teach(batches: Iterator[pa.RecordBatch], views) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        if batch.num_rows:
+            buckets, page = _read(batch, [0, 1, 2])
+            part = np.concatenate([np.concatenate(statistics(v, buckets, page)) for v in views.value.values() if v.known])
+            total = part if total is None else np.add(total, part, out=total)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+
+def _parts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, lang, source``, null where there is no such column."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *((F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("lang", "source")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> dict[str, View]:
+    """One co-trained view pair for each target: labelled rows first, then ``rounds`` - 1 passes over all others."""
+    spark = docs.sparkSession
+    bound_batches(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(t).cast("int") for t in TARGETS)).where("doc_id is not null").groupBy("doc_id").agg(*(F.max(t).alias(t) for t in TARGETS))
-    chosen = sample(known, max_labelled)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
-    pool = sample(rows, max_pool).select("doc_id").distinct().withColumn("_pool", F.lit(True))
-    wanted = F.broadcast(chosen.join(pool, "doc_id", "full"))  # at most max_labelled + max_pool ids
+    chosen = F.broadcast(materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)))
+    rows = _parts(docs)
     # one text for each id, so that an id with a third of all rows keeps the sample to its bound
-    one = rows.join(wanted, "doc_id").groupBy("doc_id", *TARGETS, "_pool").agg(F.min(F.struct("text", "lang", "source")).alias("first"))
-    found = one.select(*TARGETS, "first.*").mapInArrow(_features, "quality int, toxic int, words array<int>, page array<float>").toArrow()
-    words = [np.asarray(x.values, np.int32) for x in found.column("words")]
-    pages = np.array(found.column("page").to_pylist(), np.float64).reshape(-1, _WIDTH)
-    out = {}
-    for target in TARGETS:
-        y = found.column(target).to_numpy().astype(float) if found.num_rows else np.empty(0)
-        has = ~np.isnan(y)
-        order = np.flatnonzero(has)
-        order = order[np.lexsort((pages[order, 1], [len(words[i]) for i in order], y[order]))]  # the same split whatever the order of rows
-        free = np.flatnonzero(np.isnan(y))[:max_pool]
-        out[target] = co_train(([words[i] for i in order], pages[order], y[order]), ([words[i] for i in free], pages[free]))
-    return out
+    one = rows.join(chosen, "doc_id").groupBy("doc_id", *TARGETS).agg(F.min(F.struct("text", "lang", "source")).alias("first"))
+    packed = materialize(one.select(*TARGETS, "first.*").mapInArrow(_packed, "row binary"))
+    views = fit_in_task(packed, _begin)
+    others = rows.join(chosen.select("doc_id"), "doc_id", "left_anti").select("text", "lang", "source")
+    for _ in range(rounds - 1):
+        sent = spark.sparkContext.broadcast(views)
+        if any(v.known for v in views.values()) and (taught := summed(others.mapInArrow(partial(_teach, views=sent), "part binary"))) is not None:
+            views = fit_in_task(packed, partial(_step, views=views, taught=taught))
+    return views
 
 
 def _score(batches: Iterator[pa.RecordBatch], views, at: list[int], keep_only: bool) -> Iterator[pa.RecordBatch]:
     models = views.value
     for batch in batches:
-        texts = [t or "" for t in batch.column(at[0]).to_pylist()]
-        origin = [batch.column(i).to_pylist() if i >= 0 else [None] * len(texts) for i in at[1:3]]
-        buckets = Sparse([content(t) for t in texts])
-        pages = np.array([metadata(*x) for x in zip(texts, *origin, strict=True)], np.float64).reshape(-1, _WIDTH)
+        buckets, pages = _read(batch, at)
         quality, toxic = (models[t].score(buckets, pages) for t in TARGETS)
         keep = ~(((quality < 0.5) & models["quality"].known) | ((toxic >= REJECT_TOXIC) & models["toxic"].known))
         if keep_only:
@@ -271,7 +336,7 @@ def _score(batches: Iterator[pa.RecordBatch], views, at: list[int], keep_only: b
 def score(docs: DataFrame, views: dict[str, View]) -> DataFrame:
     """``doc_id, quality_score, toxic_score, score, keep`` of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(views)
-    rows = docs.select("text", "lang", "source", F.col("doc_id").cast("long").alias("doc_id"))
+    rows = _parts(docs).select("text", "lang", "source", "doc_id")
     return rows.mapInArrow(partial(_score, views=sent, at=[0, 1, 2, 3], keep_only=False), "doc_id long, quality_score double, toxic_score double, score double, keep boolean")
 
 

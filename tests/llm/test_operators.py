@@ -525,8 +525,9 @@ def test_quality(spark, docs, no_docs):
     held = [r for r in got if r.doc_id >= 1300]
     assert sum(r.keep == (truth[r.doc_id][0] and not truth[r.doc_id][1]) for r in held) >= 0.95 * len(held)
     hot = spark.range(600).select(F.lit(1000).cast("long").alias("doc_id"), F.lit(rows[0][1]).alias("text"), F.lit("en").alias("lang"), F.lit("src0").alias("source"))
-    again = quality.fit(df.unionByName(hot), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_labelled=10_000, max_pool=10_000)
-    assert all(np.allclose(again[t].words, views[t].words, atol=1e-3) for t in quality.TARGETS)  # copies of an id teach once
+    again = quality.fit(df.unionByName(hot), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_labelled=10_000, rounds=1)
+    alone = quality.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rounds=1)
+    assert all(np.allclose(again[t].words, alone[t].words, atol=1e-3) for t in quality.TARGETS)  # copies of an id teach once
     kept = quality.keep_good(docs, views)
     assert kept.columns == docs.columns and quality.score(docs, views).count() == len(ROWS)
     assert quality.keep_good(no_docs, views).count() == 0
@@ -535,6 +536,60 @@ def test_quality(spark, docs, no_docs):
     assert quality.score(no_docs, quality.fit(no_docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).count() == 0
 
 
+def test_co_training_round_against_all_rows_at_once():
+    rng = np.random.default_rng(7)
+
+    def rows(n: int) -> tuple[list, np.ndarray, np.ndarray]:
+        y = rng.integers(0, 2, n).astype(float)
+        words = [np.unique(np.concatenate([rng.integers(0, 400, 12), [1000 + int(k)] * (rng.random() < 0.8)]).astype(np.int32)) for k in y]
+        pages = rng.standard_normal((n, quality._WIDTH)) * 0.1
+        pages[:, 0], pages[:, 1] = 1, y + 0.4 * rng.standard_normal(n)
+        return words, pages, y
+
+    data = quality.Labelled(*rows(300))
+    view = quality.begin(data)
+    words, pages, truth = rows(900)
+    parts = [np.concatenate(quality.statistics(view, quality.Sparse(words[a:b]), pages[a:b], 0.9)) for a, b in ((0, 500), (500, 900))]
+    sure = [quality._sigmoid(quality._calibrated(z, c)) for z, c in zip(view.raw(quality.Sparse(words), pages), view.calibrations)]
+    want = []
+    for x, w, p, fit_x, ridge in ((quality.Sparse(words).dense(view.columns), view.words, sure[1], data.x.dense(view.columns), 3e-4), (pages, view.page, sure[0], data.pages[data.fit], 1e-3)):
+        y, weight = [data.y[data.fit]], [quality._balanced(data.y[data.fit]) / len(data.fit)]
+        every = [fit_x]
+        for kind, chosen in ((0.0, p <= 0.1), (1.0, p >= 0.9)):
+            every.append(x[chosen]), y.append(np.full(chosen.sum(), kind)), weight.append(np.full(chosen.sum(), quality.PSEUDO_WEIGHT / 2 / max(1, chosen.sum())))
+        x, y, weight = map(np.concatenate, (every, y, weight))
+        p = 1 / (1 + np.exp(-(x @ w)))
+        g = x.T @ (weight * (p - y)) + ridge * w
+        h = x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge * np.eye(len(w))
+        move = np.linalg.solve(h, g)
+        want.append(w - move / max(1, np.abs(move).max() / 2))
+    view = quality.step(view, data, parts[0] + parts[1])
+    assert np.allclose(view.words, want[0]) and np.allclose(view.page, want[1])
+    found = view.score(quality.Sparse(words), pages)
+    assert ((found > 0.5) == truth).mean() > 0.95
+
+
+def _auc(score: np.ndarray, y: np.ndarray) -> float:
+    order = np.argsort(score)
+    rank = np.empty(len(y))
+    rank[order] = np.arange(1, len(y) + 1)
+    return (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+
+
+def test_quality_on_held_out_labels(spark):
+    import os
+
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    views = quality.fit(docs, labels.where("doc_id % 2 = 0"))
+    got = quality.score(docs, views).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    assert _auc(got.quality_score.to_numpy(), got.quality.to_numpy()) >= 0.95 and _auc(got.toxic_score.to_numpy(), got.toxic.to_numpy()) >= 0.95
+    good = (got.quality == 1) & (got.toxic == 0)
+    assert got.keep[good].mean() >= 0.95 and got.keep[~good].mean() <= 0.1
+
+
 # --- near-duplicates ---------------------------------------------------------------------------
 
 
