@@ -13,12 +13,14 @@ is broadcast up to MAX_BROADCAST terms, and joined by a shuffle beyond.
 
 Cases: a null or empty text has no terms, and all such texts share a fingerprint; a text without a
 lexicon term is fingerprinted, whole and subsets, by all its terms; equal texts have equal fingerprints whatever their
-ids; rows with the same id follow each other in order of their texts' hashes; a null id comes after
+ids; rows with the same id follow each other in order of their texts' hashes (equal rows in any order); a null id comes after
 all others; an empty table gives no rows. Other columns are not carried along.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -85,19 +87,31 @@ def _as_text(signature: Column) -> Column:
 
 
 def _ranges(docs: DataFrame) -> tuple[Column, DataFrame]:
-    """The range of ids that a row belongs to, and ``range, head``: the first id that follows each range downwards.
+    """The range that a row belongs to, and ``range, head, head_hash``: the row that follows each range downwards.
 
-    There are at most _MOST_RANGES ranges, each of nearly as many rows as the next.
+    There are at most _MOST_RANGES ranges, each of nearly as many rows as the next: cuts are quantiles of the
+    ids, and an id on which several of them fall has as many ranges, told apart by the hash of the text.
+    A row's cut is found in two steps, first among every so-manieth cut and then among those up to the next.
     """
-    spark, key = docs.sparkSession, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID))
+    spark, key, text_hash = docs.sparkSession, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)), F.xxhash64("text")
     n = docs.count()
     ranges = max(64, min(_MOST_RANGES, n // _ROWS_PER_RANGE))
-    cuts = docs.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []
-    cuts = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
-    of = F.size(F.filter(cuts, lambda c: c < key))
-    heads = sorted(((r.range, r.head) for r in docs.groupBy(of.alias("range")).agg(F.max(key).alias("head")).collect()), reverse=True)
-    after = [(r, heads[(k + 1) % len(heads)][1]) for k, (r, _) in enumerate(heads)]
-    return of, spark.createDataFrame(after, "range int, head long")
+    cuts = sorted(docs.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or [])
+    long_array = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
+    chunk = max(1, math.isqrt(len(cuts)))
+    chunks = [cuts[a : a + chunk] for a in range(0, len(cuts), chunk)]
+    below = lambda values: F.size(F.filter(values, lambda c: c < key))
+    of_chunk = below(long_array([c[0] for c in chunks]))
+    inside = F.element_at(F.array(*map(long_array, chunks)) if chunks else F.array(F.array().cast("array<bigint>")), F.greatest(of_chunk, F.lit(1)))
+    of = F.when(of_chunk > 0, (of_chunk - 1) * chunk + below(inside)).otherwise(0)
+    often = {c: k for c, k in Counter(cuts).items() if k > 1}
+    if often:
+        parts = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in often.items() for x in pair)), key), F.lit(1))
+        of = of + parts - 1 - F.floor((text_hash.cast("double") / 2.0**64 + 0.5) * 0.999999 * parts).cast("int")
+    first = F.max(F.struct(key.alias("head"), F.bitwise_not(text_hash).alias("h"))).alias("first")
+    heads = sorted(((r.range, r.first.head, ~r.first.h) for r in docs.groupBy(of.alias("range")).agg(first).collect()), reverse=True)  # a row for each range
+    after = [(r, *heads[(k + 1) % len(heads)][1:]) for k, (r, *_) in enumerate(heads)]
+    return of, spark.createDataFrame(after, "range int, head long, head_hash long")
 
 
 def fingerprint_with_neighbours(docs: DataFrame) -> DataFrame:
@@ -114,7 +128,8 @@ def fingerprint_with_neighbours(docs: DataFrame) -> DataFrame:
     of, after = _ranges(docs)
     key = F.coalesce("doc_id", F.lit(_LEAST_ID))
     own = docs.select(of.alias("range"), F.lit(False).alias("guest"), "doc_id", "text")
-    guests = docs.withColumn("head", key).join(F.broadcast(after), "head").select("range", F.lit(True).alias("guest"), "doc_id", "text")
+    guests = docs.withColumns({"head": key, "head_hash": F.xxhash64("text")}).join(F.broadcast(after), ["head", "head_hash"])
+    guests = guests.groupBy("range").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("range", F.lit(True).alias("guest"), "doc_id", "text")
     along = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     n = F.char_length("text")
     kept = n - F.floor(n / 3)

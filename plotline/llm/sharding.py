@@ -1,12 +1,13 @@
 """Sharding by fixed virtual slots.
 
-Records are hashed by id into thousands of virtual slots whose number never changes. Bytes and rows
+Records are hashed by id, size and checksum into thousands of virtual slots whose number never changes, so
+that rows of a frequent id spread; rows that repeat all three spread by a salt. Bytes and rows
 are summed per slot, and a versioned slot-to-shard map says where each slot lives. Rebalancing edits
 the map, never the hash: it moves slots from full shards to empty ones, and each edit is a new
 version, stored beside the older ones. The map has one row for each slot, however large the table is.
 
-Cases: a null text has size 16 and the checksum of no bytes; null ids share one slot; repeated rows
-each get a place of their own; an empty table gives an empty result and an even map.
+Cases: a null text has size 16 and the checksum of no bytes; null ids are ids like any other; repeated rows
+each get a place of their own, in one of SALTS slots; an empty table gives an empty result and an even map.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from plotline.llm.common import materialize, shared_dir
 
 VIRTUAL_SLOTS = 8192
 ROW_OVERHEAD = 16
+SALTS = 1024
 
 
-def virtual_slot(key: str | Column, slots: int = VIRTUAL_SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def virtual_slot(*key: str | Column, slots: int = VIRTUAL_SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
 
 
 def initial_map(shards: int, slots: int = VIRTUAL_SLOTS) -> list[int]:
@@ -70,14 +72,19 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = VIRTUAL_SLOTS, map_pat
     slots (a running sum over the map). Only ids, sizes and checksums are shuffled.
     """
     spark = docs.sparkSession
+    record = ["doc_id", "size", "text_crc32"]
     rows = materialize(
         docs.select(
             F.col("doc_id"),
             (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("size"),
             F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"),
-            virtual_slot("doc_id", slots).alias("virtual_slot"),
+            F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt"),
         )
     )
+    repeated = rows.groupBy(*record).agg(F.count("*").alias("n")).where("n > 1").select(*(F.col(c).alias(f"r_{c}") for c in record), F.lit(True).alias("again"))
+    same = F.expr(" and ".join(f"{c} <=> r_{c}" for c in record))
+    salted = rows.join(repeated, same, "left").select(*record, F.when(F.col("again"), F.col("salt")).otherwise(0).alias("salt"))
+    rows = materialize(salted.select(*record, virtual_slot(*record, "salt", slots=slots).alias("virtual_slot")))
     usage = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()  # one row a slot
     versions = [initial_map(shards, slots)]
     versions.append(rebalance(versions[0], {u.virtual_slot: u.bytes for u in usage}, shards))

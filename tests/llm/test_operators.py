@@ -64,6 +64,32 @@ def test_license_notice_with_one_word_changed(spark):
     assert all(0.8 <= r.score <= 1 for r in got if r.labels)
 
 
+def test_license_scan_in_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    notices = [t.text for t in licenses.TEMPLATES if not t.phrase]
+    rng = random.Random(2)
+    texts = [*(r[1] for r in ROWS), "to deal in the software without " * 25, f"{notices[0]} {notices[0]}", f"{notices[1]} x {notices[2]} mit license"]
+    for _ in range(60):
+        w = rng.choice(notices).split()
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randint(0, 1)] = rng.choice(([], ["other"], ["more", "words"], w[:6]))
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([(i if i % 7 else 3, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    path = str(tmp_path / "documents.parquet")
+    df.toPandas().to_parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{path}')")
+    found = con.execute(licenses.sql())
+    names = [c[0] for c in found.description]
+    want = Counter((*r[:7], round(r[7], 9)) for r in found.fetchall())
+    got = licenses.scan(df).select(*names).collect()
+    assert Counter((*r[:7], round(r[7], 9)) for r in got) == want
+    assert sum(bool(r.labels) for r in got) > 20
+    repeated = licenses.scan(spark.createDataFrame([(1, texts[len(ROWS)])], "doc_id long, text string")).first()
+    assert repeated.labels == "" and repeated.score == 0
+
+
 # --- language model ----------------------------------------------------------------------------
 
 
@@ -321,6 +347,28 @@ def test_sharding(docs, no_docs):
     assert sharding.shard(no_docs, shards=4).count() == 0
 
 
+def test_bytes_stay_even_with_a_frequent_id_and_repeated_rows(spark, tmp_path):
+    rows = [(i if i % 3 else 7, "x" * (i % 50 + 1)) for i in range(6000)] + [(5, "one row, again and again")] * 3000 + [(None, None)] * 600
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = f"file://{tmp_path}/map"
+    got = sharding.shard(df, shards=40, map_path=path).collect()
+    size, places, owner = Counter(), {}, {}
+    for r in got:
+        size[r.shard] += r.size
+        places.setdefault(r.shard, []).append(r.slot)
+        assert owner.setdefault(r.virtual_slot, r.shard) == r.shard
+    assert set(size) == set(range(40)) and max(size.values()) < 1.05 * sum(size.values()) / 40
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    versions = spark.read.parquet(path)
+    assert {r.version for r in versions.select("version").distinct().collect()} == {0, 1}
+    stored = {r.virtual_slot: r.shard for r in versions.where("version = 1").collect()}
+    assert len(stored) == sharding.VIRTUAL_SLOTS and all(stored[s] == k for s, k in owner.items())
+    once = {(r.doc_id, r.text_crc32): r.virtual_slot for r in got}
+    other = {(r.doc_id, r.text_crc32): r.virtual_slot for r in sharding.shard(df.repartition(3), shards=40).collect()}
+    alone = [k for k, n in Counter((r.doc_id, r.text_crc32) for r in got).items() if n == 1]
+    assert alone and all(once[k] == other[k] for k in alone)  # a record's slot follows from the record
+
+
 def test_map_edits_move_little_and_even_out():
     rng = random.Random(1)
     weight = {s: rng.randint(1, 100) for s in range(sharding.VIRTUAL_SLOTS)}
@@ -421,6 +469,74 @@ def test_imatch_subsets_of_a_text_without_a_lexicon_term(spark):
     assert sum(x is not None for x in bare[1:]) > 10
 
 
+def spark_hash(values: list[int], last: int | None = None) -> int:
+    """Spark's xxhash64 of an array of longs, and of an int after it."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(int(v).to_bytes(8, "little", signed=True), h)
+    if last is not None:
+        h = xxhash.xxh64_intdigest(int(last).to_bytes(4, "little", signed=True), h)
+    return h
+
+
+def brute_imatch(rows: list[tuple]) -> dict:
+    """doc_id -> (n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), for distinct ids."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    terms = lambda t: {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall(r"[^ \t-\r]+", t.lower())}
+    distinct = {t for _, t in rows if t}
+    df = Counter(x for t in distinct for x in terms(t))
+    n = len(distinct)
+    known = {x for x, c in df.items() if imatch.MIN_SHARE * n <= c <= max(1.0, imatch.MAX_SHARE * n)}
+
+    def signature(t: str) -> list:
+        own = sorted(terms(t) & known) or sorted(terms(t))
+        out, j = [spark_hash(own)], 0
+        for bits in imatch.RATE_BITS:
+            for _ in range(imatch.SUBSETS_PER_RATE):
+                shift, mask = (11 * j + 5) % 57, (1 << bits) - 1
+                held = [x for x in own if (x & (1 << 64) - 1) >> shift & mask == mask]
+                out.append(spark_hash(held, j) if held else None)
+                j += 1
+        return out
+
+    def likeness(a: list, b: list) -> float:
+        return sum(x == y and x is not None for x, y in zip(a, b)) / sum(x is not None or y is not None for x, y in zip(a, b))
+
+    shown = lambda s: "".join(f"{(x or 0) & 0xFFFFFFFF:08x}" for x in s)
+    ordered = sorted(rows, key=lambda r: -r[0])
+    out = {}
+    for k, (i, t) in enumerate(ordered):
+        t, after = t or "", ordered[(k + 1) % len(ordered)][1] or ""
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + after[:cut]
+        a, b, c = signature(t), signature(edited), signature(after)
+        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(a), shown(b), round(likeness(a, b), 9), round(likeness(a, c), 9))
+    return out
+
+
+def test_imatch_against_plain_python(spark):
+    rng = random.Random(12)
+    rows = [(5 * k - 40, sentences(k % 50, rng.randint(1, 90))) for k in range(150)] + [(9001, None), (9002, ""), (9003, "\u65e5\u672c \u8a9e text " * 9), (-999, "last of all, before the first")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in imatch.fingerprints(df).collect()}
+    assert got == brute_imatch(rows)
+
+
+def test_imatch_splits_a_frequent_id(spark):
+    rows = [(7, f"text {i} of one id {i % 13}") for i in range(3000)] + [(i + 100, f"other {i} text") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    of, after = imatch._ranges(df)
+    counts = [r["count"] for r in df.groupBy(of.alias("range")).count().collect()]
+    assert len(counts) > 50 and max(counts) < 4 * sum(counts) / len(counts) and after.count() == len(counts)
+    got = {(r.doc_id, r.edited_sha256) for r in imatch.fingerprints(df).collect()}
+    ordered = sorted(((-i, signed if (signed := xxhash.xxh64_intdigest(t.encode(), 42)) < 1 << 63 else signed - (1 << 64), t) for i, t in rows))
+    want = set()
+    for k, (i, _, t) in enumerate(ordered):
+        after_text, cut = ordered[(k + 1) % len(ordered)][2], len(t) // 3
+        want.add((-i, hashlib.sha256((t[: len(t) - cut] + after_text[:cut]).encode()).hexdigest()))
+    assert got == want
+
+
 # --- byte-level BPE ----------------------------------------------------------------------------
 
 
