@@ -1,11 +1,16 @@
-"""The pipeline's near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+"""The near-duplicate stage's links: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-A 64-bit SimHash can't find them by wiped bits: at 0.8 about ten bits differ, and segments short enough
-to agree stand in unrelated texts too. So candidates share one of BANDS bands of BAND_ROWS least hashes,
-which a pair at 0.8 misses once in about 17,000, and each candidate pair is verified on the texts' whole
-sets of shingles. A large bucket is first linked to one member, another in each band; then every pair
-of a bucket that is still in different components is verified, so that no pair of a bucket is left out
-and a large group of near copies doesn't cost the square of its size.
+The SimHash operator's own search comes first: fingerprints over 5-word shingles, joined by their wiped
+variants (:func:`simhash.near_pairs`), name candidates at three bits or fewer. At a similarity of 0.8 about
+ten of 64 bits differ, which no segment of a length that would still tell unrelated texts apart survives;
+so what is beyond three bits shares one of BANDS bands of BAND_ROWS least hashes, which a pair at 0.8 misses
+once in about 17,000. Every candidate pair is verified on the texts' whole sets of shingles, unless a bit of
+each least hash, compared inside the join, shows that the similarity is far below (SKETCH_BITS of 192 differ,
+which at 0.8 happens about three times in a million).
+
+A large group is first linked through one member, then, band by band, through others; then every pair of a
+bucket that is still in different components is compared, so that no pair of a bucket is left out and a
+large group of near copies doesn't cost the square of its size.
 
 Cases: words are lower-cased (A-Z) and parted at ASCII white space; a shorter text than a shingle is one
 shingle; null, empty and blank texts are copies of each other; repeated shingles count once; texts
@@ -25,11 +30,13 @@ from pyspark.sql import functions as F
 
 from plotline.llm.common import materialize
 from plotline.llm.components import connected_components
+from plotline.llm.simhash import near_pairs
 from plotline.llm.units import bound_batches
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 6
+SKETCH_BITS = 40
 _BLOCK = 1 << 12  # shingles whose least hashes are looked for at once
 _digest = partial(xxhash.xxh64_digest, seed=42)
 _rng = np.random.default_rng(7)
@@ -43,15 +50,36 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(_digest, found)), np.uint64))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """A signed 64-bit key for each band."""
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), _BLOCK):
         np.minimum(least, ((hashes[at : at + _BLOCK] ^ _XOR) * _ODD).min(axis=1), out=least)
+    return least
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band."""
+    return _bands(least_hashes(hashes))
+
+
+def _bands(least: np.ndarray) -> list[int]:
     rows, width = least.tobytes(), 8 * BAND_ROWS
     return [int.from_bytes(xxhash.xxh64_digest(rows[k * width : (k + 1) * width], seed=k), "big", signed=True) for k in range(BANDS)]
 
 
+def _sketch(least: np.ndarray) -> list[int]:
+    """A bit of each least hash, as three longs."""
+    return np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).view(">i8").tolist()
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of hashes, signed."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
@@ -63,13 +91,16 @@ def _text(x: pa.Scalar) -> bytes:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, keys = [], []
+        nodes, prints, sketches, keys = [], [], [], []
         for t in batch.column("text"):
             hashes = shingles(_text(t))
+            least = least_hashes(hashes)
             nodes.append(int.from_bytes(_digest(hashes.tobytes()), "big", signed=True))
-            keys.append(bands(hashes))
-        columns = [*(batch.column(c) for c in ("r", "doc_id", "text_hash", "text")), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["r", "doc_id", "text_hash", "text", "node", "bands"])
+            prints.append(fingerprint(hashes))
+            sketches.append(_sketch(least))
+            keys.append(_bands(least))
+        columns = [*(batch.column(c) for c in ("r", "doc_id", "text_hash", "text")), *(pa.array(x, pa.int64()) for x in (nodes, prints)), *(pa.array(x, pa.list_(pa.int64())) for x in (sketches, keys))]
+        yield pa.RecordBatch.from_arrays(columns, ["r", "doc_id", "text_hash", "text", "node", "fp", "sketch", "bands"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,33 +114,65 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([u, v], ["u", "v"]).filter(pa.array(true, pa.bool_()))
 
 
+def _alike(a: str, b: str):
+    """Whether two sketches leave it open that the similarity reaches the bound."""
+    return F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(3)) + f" <= {SKETCH_BITS}")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``(u, v)`` that are near copies, each asked once."""
-    pairs = materialize(pairs.distinct())
+    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     left, right = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
     return materialize(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long"))
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Candidates ``(u, v)``: nodes of one fingerprint, through one of them, and of near fingerprints."""
+    hubs = materialize(nodes.groupBy("fp").agg(F.min(F.struct("node", "sketch")).alias("hub")).select("fp", "hub.*"))
+    same = nodes.join(hubs.select("fp", F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch")), "fp").where("node <> hub").where(_alike("sketch", "hub_sketch"))
+    near = near_pairs(hubs.select("fp")).withColumnsRenamed({"u": "fp_u", "v": "fp_v"})
+    u, v = (hubs.select(F.col("fp").alias(f"fp_{x}"), F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
+    near = near.join(u, "fp_u").join(v, "fp_v").where(_alike("sketch_u", "sketch_v"))
+    return same.select(F.col("node").alias("u"), F.col("hub").alias("v")).unionByName(near.select("u", "v"))
+
+
+def _apart(shared: DataFrame, roots: DataFrame, more_than: int) -> DataFrame:
+    """The members, with their roots, of buckets of more than so many nodes that are not yet in one component."""
+    named = shared.where(F.col("n") > more_than).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = materialize(named)
+    split = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    return materialize(named.join(materialize(split), "band"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, root`` of every row: rows of one root are linked by near copies."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    rows = materialize(rows.mapInArrow(_describe, "r long, doc_id long, text_hash long, text binary, node long, bands array<long>"))
-    first = rows.groupBy("node").agg(F.min("r").alias("r"))
-    keys = rows.select("r", "bands").join(first, "r").select("node", F.explode("bands").alias("band"))
+    rows = materialize(rows.mapInArrow(_describe, "r long, doc_id long, text_hash long, text binary, node long, fp long, sketch array<long>, bands array<long>"))
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("r", "fp", "sketch")).alias("first")).select("node", "first.*"))
+    near = materialize(_by_fingerprint(nodes))
+    keys = materialize(rows.select("r", "bands").join(nodes.select("node", "r"), "r").select("node", F.explode("bands").alias("band")))
     # each bucket's hub is another member, so that a large group meets many
     buckets = keys.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "band"), "node"))["node"].alias("hub")).where("n > 1")
-    shared = materialize(materialize(keys).join(materialize(buckets), "band"))
-    wanted = materialize(shared.select("node").distinct().join(first, "node").select("r"))
-    texts = materialize(rows.select("r", "node", "text").join(wanted, "r").select("node", "text"))
-    links = _verified(shared.where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")), texts)
+    shared = materialize(keys.join(materialize(buckets), "band"))
+    wanted = shared.select("node").unionByName(near.select(F.col("u").alias("node"))).unionByName(near.select(F.col("v").alias("node"))).distinct()
+    wanted = materialize(wanted.join(nodes, "node").select("node", "r", "sketch"))
+    texts = materialize(rows.select("r", "text").join(wanted.select("node", "r"), "r").select("node", "text"))
+    sketches = wanted.select("node", "sketch")
+    links = _verified(near, texts)
+    roots = connected_components(links)
+    # what fingerprints did not bring together, through the buckets' hubs
+    members = _apart(shared, roots, 1).join(sketches, "node")
+    hubs = sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch"))
+    to_hub = members.where("node <> hub").join(hubs, "hub").where(_alike("sketch", "hub_sketch"))
+    more = _verified(to_hub.select(F.col("node").alias("u"), F.col("hub").alias("v")), texts)
+    links = links.unionByName(more)
     roots = connected_components(links)
     # buckets of two are settled; of larger ones, what the hubs did not bring together
-    named = shared.where("n > 2").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    apart = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    open_ = materialize(materialize(named).join(apart, "band"))
-    a, b = (open_.select("band", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
-    more = _verified(a.join(b, "band").where("root_u < root_v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), texts)
+    members = materialize(_apart(shared, roots, 2).join(sketches, "node"))
+    a, b = (members.select("band", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
+    pairs = a.join(b, (a.band == b.band) & F.expr("root_u < root_v") & _alike("sketch_u", "sketch_v"))
+    more = _verified(pairs.select("u", "v"), texts)
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
     return rows.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))

@@ -112,7 +112,8 @@ def drop_near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> D
 def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Keep of every ``root`` in ``rows`` (``doc_id, text_hash, root``) the row of ``docs`` with the least ``doc_id``.
 
-    A row that repeats both id and text of the one kept is dropped too, so one row of each group stays.
+    A row that repeats both id and text of the one kept is dropped too, so one row of each group stays; where
+    such rows differ in other columns, any one of them stays.
     """
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     names = [unused_name(docs, n) for n in ("_kept_id", "_kept_hash", "_own_hash")]
