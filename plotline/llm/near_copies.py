@@ -20,7 +20,6 @@ with equal sets are one node, however many rows have them. Ids may repeat or be
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,23 +36,35 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 6
 SKETCH_BITS = 40
-_BLOCK = 1 << 12  # shingles whose least hashes are looked for at once
-_digest = partial(xxhash.xxh64_digest, seed=42)
+_BLOCK = 256  # shingles whose least hashes are looked for at once, in a core's cache
+_digest = xxhash.xxh3_64_digest
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(7)
-_XOR, _ODD = (_rng.integers(1 << 63, size=(BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(k) for k in (0, 1))
+_XOR, _ODD = (_rng.integers(1 << 31, size=(BANDS * BAND_ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(k) for k in (0, 1))
 
 
 def shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; one at least."""
+    """Sorted distinct 64-bit hashes of a text's shingles, put together from its words' hashes; one at least."""
     words = text.lower().split()
-    found = {b" ".join(words[i : i + SHINGLE_WORDS]) for i in range(max(1, len(words) - SHINGLE_WORDS + 1))}
-    return np.unique(np.frombuffer(b"".join(map(_digest, found)), np.uint64))
+    of_word = np.frombuffer(b"".join(map(_digest, words)), np.uint64)
+    n = max(1, len(words) - SHINGLE_WORDS + 1)
+    out = np.full(n, min(len(words), SHINGLE_WORDS), np.uint64)
+    for j in range(min(len(words), SHINGLE_WORDS)):
+        out = out * _BASE + of_word[j : j + n]
+    return np.unique((out ^ (out >> np.uint64(31))) * _BASE)
 
 
 def least_hashes(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), _BLOCK):
-        np.minimum(least, ((hashes[at : at + _BLOCK] ^ _XOR) * _ODD).min(axis=1), out=least)
+    """The least value of each of several permutations of 32-bit hashes."""
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint32).max)
+    mixed = np.empty((BANDS * BAND_ROWS, _BLOCK), np.uint32)
+    for at in range(0, len(short), _BLOCK):
+        part = short[at : at + _BLOCK]
+        out = mixed[:, : len(part)]
+        np.bitwise_xor(part, _XOR, out=out)
+        np.multiply(out, _ODD, out=out)
+        np.minimum(least, out.min(axis=1), out=least)
     return least
 
 
@@ -63,13 +74,13 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def _bands(least: np.ndarray) -> list[int]:
-    rows, width = least.tobytes(), 8 * BAND_ROWS
+    rows, width = least.tobytes(), 4 * BAND_ROWS
     return [int.from_bytes(xxhash.xxh64_digest(rows[k * width : (k + 1) * width], seed=k), "big", signed=True) for k in range(BANDS)]
 
 
 def _sketch(least: np.ndarray) -> list[int]:
     """A bit of each least hash, as three longs."""
-    return np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).view(">i8").tolist()
+    return np.packbits((least >> np.uint32(8) & np.uint32(1)).astype(np.uint8)).view(">i8").tolist()
 
 
 def fingerprint(hashes: np.ndarray) -> int:
