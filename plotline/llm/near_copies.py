@@ -4,13 +4,14 @@ The SimHash operator's own search comes first: fingerprints over 5-word shingles
 variants (:func:`simhash.near_pairs`), name candidates at three bits or fewer. At a similarity of 0.8 about
 ten of 64 bits differ, which no segment of a length that would still tell unrelated texts apart survives;
 so what is beyond three bits shares one of BANDS bands of BAND_ROWS least hashes, which a pair at 0.8 misses
-once in about 17,000. Every candidate pair is verified on the texts' whole sets of shingles, unless a bit of
-each least hash, compared inside the join, shows that the similarity is far below (SKETCH_BITS of 192 differ,
-which at 0.8 happens about three times in a million).
+once in about 17,000. Every candidate pair is verified on the texts' whole sets of shingles, unless four bits of
+each least hash, compared inside the join, show that the similarity is far below (more than SKETCH_DIFFERS of
+192 differ, which at 0.8 happens a few times in a million).
 
-A large group is first linked through one member, then, band by band, through others; then every pair of a
-bucket that is still in different components is compared, so that no pair of a bucket is left out and a
-large group of near copies doesn't cost the square of its size.
+A large group is first linked through one member of each node's largest bucket, then through one member of
+every bucket; then every pair of a bucket that is still in different components is compared, so that no pair
+of a bucket is left out. By then most of a large group is one component; the others' sets, as 32-bit hashes,
+are compared inside the join, so that hardly a pair below the bound comes out of it.
 
 Cases: words are lower-cased (A-Z) and parted at ASCII white space; a shorter text than a shingle is one
 shingle; null, empty and blank texts are copies of each other; repeated shingles count once; texts
@@ -35,7 +36,7 @@ from plotline.llm.units import bound_batches
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 6
-SKETCH_BITS = 40
+SKETCH_BITS, SKETCH_DIFFERS = 4, 62
 _BLOCK = 256  # shingles whose least hashes are looked for at once, in a core's cache
 _digest = xxhash.xxh3_64_digest
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -79,8 +80,9 @@ def _bands(least: np.ndarray) -> list[int]:
 
 
 def _sketch(least: np.ndarray) -> list[int]:
-    """A bit of each least hash, as three longs."""
-    return np.packbits((least >> np.uint32(8) & np.uint32(1)).astype(np.uint8)).view(">i8").tolist()
+    """SKETCH_BITS bits of each least hash, bit by bit, a long for 64 of them."""
+    bits = [(least >> np.uint32(8 + k) & np.uint32(1)).astype(np.uint8) for k in range(SKETCH_BITS)]
+    return np.packbits(np.concatenate(bits)).view(">i8").tolist()
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -127,7 +129,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _alike(a: str, b: str):
     """Whether two sketches leave it open that the similarity reaches the bound."""
-    return F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(3)) + f" <= {SKETCH_BITS}")
+    differs = ["bit_count(" + " | ".join(f"({a}[{3 * k + j}] ^ {b}[{3 * k + j}])" for k in range(SKETCH_BITS)) + ")" for j in range(3)]
+    return F.expr(f"{' + '.join(differs)} <= {SKETCH_DIFFERS}")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -155,6 +158,12 @@ def _apart(shared: DataFrame, roots: DataFrame, more_than: int) -> DataFrame:
     return materialize(named.join(materialize(split), "band"))
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique((shingles(_text(t)) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, root`` of every row: rows of one root are linked by near copies."""
     bound_batches(docs.sparkSession)
@@ -172,18 +181,24 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sketches = wanted.select("node", "sketch")
     links = _verified(near, texts)
     roots = connected_components(links)
-    # what fingerprints did not bring together, through the buckets' hubs
-    members = _apart(shared, roots, 1).join(sketches, "node")
-    hubs = sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch"))
-    to_hub = members.where("node <> hub").join(hubs, "hub").where(_alike("sketch", "hub_sketch"))
-    more = _verified(to_hub.select(F.col("node").alias("u"), F.col("hub").alias("v")), texts)
-    links = links.unionByName(more)
-    roots = connected_components(links)
+    # what fingerprints did not bring together: each node with the hub of its largest bucket, then with all its hubs
+    for largest in (True, False):
+        members = _apart(shared, roots, 1)
+        if largest:
+            members = members.groupBy("node").agg(F.max(F.struct("n", "band", "hub", "root")).alias("most")).select("node", "most.*")
+        hubs = sketches.join(roots, "node", "left").select(F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch"), F.coalesce("root", "node").alias("hub_root"))
+        to_hub = members.join(sketches, "node").join(hubs, "hub").where(F.col("root") != F.col("hub_root")).where(_alike("sketch", "hub_sketch"))
+        links = links.unionByName(_verified(to_hub.select(F.col("node").alias("u"), F.col("hub").alias("v")), texts))
+        roots = connected_components(links)
     # buckets of two are settled; of larger ones, what the hubs did not bring together
-    members = materialize(_apart(shared, roots, 2).join(sketches, "node"))
-    a, b = (members.select("band", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
-    pairs = a.join(b, (a.band == b.band) & F.expr("root_u < root_v") & _alike("sketch_u", "sketch_v"))
-    more = _verified(pairs.select("u", "v"), texts)
+    members = _apart(shared, roots, 2)
+    sets = materialize(members.select("node").distinct().join(texts, "node").select("node", "text").mapInArrow(_sets, "node long, shingles array<int>"))
+    members = materialize(members.join(sketches, "node").join(sets, "node"))
+    a, b = (members.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "sketch", "shingles"))) for x in "uv")
+    # two more than meet, since two shingles of a text may share a short hash
+    reached = F.expr("9 * (size(array_intersect(shingles_u, shingles_v)) + 2) >= 4 * (size(shingles_u) + size(shingles_v))")
+    pairs = a.join(b, (a.band == b.band) & F.expr("root_u < root_v") & _alike("sketch_u", "sketch_v") & reached)
+    more = _verified(pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")), texts)
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
     return rows.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))

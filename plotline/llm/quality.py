@@ -64,25 +64,22 @@ _CLASSES[list(range(65, 91))], _CLASSES[list(range(48, 58))], _CLASSES[[10]] = 1
 _CLASSES[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,'\"-"]] = 4
 
 
-def content(text: str) -> np.ndarray:
-    """The distinct word buckets of a text, sorted."""
+def features(text: str, lang: str | None = None, source: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct word buckets of a text, sorted; and layout and origin of its page, the latter as two
+    hashed one-hot groups of 16 and 64 levels."""
     memo = kept("quality")
     buckets = memo.get("buckets") or memo.setdefault("buckets", _Buckets())
-    return np.unique(np.fromiter(map(buckets.__getitem__, set(text.split())), np.int32))
-
-
-def metadata(text: str, lang: str | None, source: str | None) -> np.ndarray:
-    """Layout and origin of a page; two hashed one-hot groups of 16 and 64 levels."""
+    words = text.split()
+    often = Counter(words)
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    counts, words = np.bincount(_CLASSES[raw], minlength=5), text.split()
+    counts = np.bincount(_CLASSES[raw], minlength=5)
     n, w = max(1, len(raw)), max(1, len(words))
-    often = Counter(words)
     longest = max(often.values(), default=0)
     out = np.zeros(_WIDTH, np.float32)
     out[:9] = (1, np.log1p(len(raw)) / 8, counts[1] / n * 4, counts[2] / n * 4, counts[3] / n * 20, counts[4] / n * 4, len(often) / w, min(2.0, n / w / 8), min(1.0, longest / w))
     out[9 + zlib.crc32(f"lang:{lang}".encode()) % 16] = 0.5
     out[25 + zlib.crc32(f"source:{source}".encode()) % 64] = 0.5
-    return out
+    return np.unique(np.fromiter(map(buckets.__getitem__, often), np.int32)), out
 
 
 _WIDTH = 9 + 16 + 64
@@ -250,7 +247,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labels (-1 for none), page and words of each row, as bytes."""
     for batch in batches:
         rows = zip(*(batch.column(c).to_pylist() for c in ("quality", "toxic", "text", "lang", "source")), strict=True)
-        out = [np.array([-1 if v is None else v for v in (q, t)], "<i4").tobytes() + metadata(x or "", a, b).tobytes() + content(x or "").tobytes() for q, t, x, a, b in rows]
+        out = []
+        for q, t, x, a, b in rows:
+            words, page = features(x or "", a, b)
+            out.append(np.array([-1 if v is None else v for v in (q, t)], "<i4").tobytes() + page.tobytes() + words.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["row"])
 
 
@@ -283,7 +283,8 @@ def _step(rows: list[bytes], views: dict[str, View], taught: np.ndarray) -> dict
 def _read(batch: pa.RecordBatch, at: list[int]) -> tuple[Sparse, np.ndarray]:
     texts = [t or "" for t in batch.column(at[0]).to_pylist()]
     origin = [batch.column(i).to_pylist() if i >= 0 else [None] * len(texts) for i in at[1:3]]
-    return Sparse([content(t) for t in texts]), np.array([metadata(*x) for x in zip(texts, *origin, strict=True)], np.float64).reshape(-1, _WIDTH)
+    found = [features(*x) for x in zip(texts, *origin, strict=True)]
+    return Sparse([words for words, _ in found]), np.array([page for _, page in found], np.float64).reshape(-1, _WIDTH)
 
 
 def _teach(batches: Iterator[pa.RecordBatch], views) -> Iterator[pa.RecordBatch]:
