@@ -106,6 +106,11 @@ class PopulationRules:
     min_price: float = 10_000.0
 
 
+def property_class(c: str | Column) -> Column:
+    """A class code as text, without the ``.0`` that a number read as a float carries."""
+    return F.regexp_replace(F.trim(_col(c).cast("string")), r"\.0$", "")
+
+
 def classify_sales(sales: DataFrame, rules: PopulationRules = PopulationRules()) -> DataFrame:
     """``sales`` with ``population_status`` (excluded before ambiguous before market) and reason lists; no row goes."""
     require(sales, "pin", "class", "sale_date", "sale_price")
@@ -113,19 +118,19 @@ def classify_sales(sales: DataFrame, rules: PopulationRules = PopulationRules())
     pin, price = normalize_pin("pin"), number("sale_price")
     excluded = reasons(
         invalid_pin=pin.isNull(),
-        missing_sale_date=F.col("sale_date").isNull(),
-        missing_price=price.isNull(),
+        missing_or_invalid_sale_date=F.col("sale_date").isNull(),
+        missing_or_invalid_sale_price=price.isNull(),
         price_below_minimum=price < rules.min_price,
-        class_not_in_population=~F.coalesce(F.trim(F.col("class").cast("string")).isin(*rules.single_family, *rules.multi_family), F.lit(False)),
+        non_target_property_class=~F.coalesce(property_class("class").isin(*rules.single_family, *rules.multi_family), F.lit(False)),
         **{f: lenient_boolean(f) for f in flags},
     )
     unknown = reduce(lambda a, b: a | b, (lenient_boolean(f).isNull() for f in flags)) if flags else F.lit(False)
     multi = lenient_boolean("is_multisale") if "is_multisale" in sales.columns else F.lit(False)
-    ambiguous = reasons(multisale=multi, unknown_filter=unknown)
+    ambiguous = reasons(missing_sale_filter_metadata=unknown, multi_parcel_sale=multi)
     return sales.withColumns({"normalized_pin": pin, "exclusion_reasons": excluded, "ambiguity_reasons": ambiguous}).withColumn(
         "population_status",
         F.when(F.size("exclusion_reasons") > 0, "excluded").when(F.size("ambiguity_reasons") > 0, "ambiguous").otherwise("market"),
-    )
+    ).withColumn("is_primary_population", F.col("population_status") == "market")
 
 
 def market_samples(sales: DataFrame, flags: list[str], strict_min: float = 25_000, moderate_min: float = 10_000) -> DataFrame:
@@ -140,3 +145,65 @@ def market_samples(sales: DataFrame, flags: list[str], strict_min: float = 25_00
     price = F.coalesce(number("sale_price"), F.lit(0.0))
     family = F.col("class").isin(*SINGLE_FAMILY)
     return sales.withColumns({"strict_market": clear & single & (price >= strict_min) & F.coalesce(family, F.lit(False)), "moderate_market": open_ & single & (price >= moderate_min) & F.coalesce(family | F.col("class").isin(*MULTI_FAMILY), F.lit(False))})
+
+
+#: Estimates at or below this stand for missing ones in census tables (fixed value).
+CENSUS_SENTINEL = -100_000_000
+
+
+def acs_features(df: DataFrame) -> DataFrame:
+    """Rates and levels of census tracts, beside the identifiers that ``df`` has.
+
+    Columns that are not there count as null; sentinels and non-numbers are null; rates and shares outside 0 to 1
+    are null; densities come only with a land area.
+    """
+
+    def of(*names: str) -> Column:
+        known = [number(n) for n in names if n in df.columns]
+        return F.coalesce(*(F.when(c > CENSUS_SENTINEL, c) for c in known)) if known else F.lit(None).cast("double")
+
+    def rate(a: Column, b: Column) -> Column:
+        r = F.try_divide(a, b)
+        return F.when(r.between(0, 1), r)
+
+    graduate = of("masters_degree") + of("professional_degree") + of("doctorate_degree")
+    population, housing, area = of("population", "tract_population"), of("housing_units"), of("tract_land_sq_miles")
+    occupied, commuters, adults = of("occupied_units"), of("commuters_total"), of("population_25_plus")
+    out = {
+        "median_household_income": of("median_household_income"),
+        "poverty_rate": rate(of("poverty_population"), of("poverty_universe")),
+        "bachelors_or_higher_rate": rate(of("bachelors_degree") + graduate, adults),
+        "graduate_degree_rate": rate(graduate, adults),
+        "owner_occupancy_rate": rate(of("owner_occupied_units"), occupied),
+        "renter_occupancy_rate": rate(of("renter_occupied_units"), occupied),
+        "vacancy_rate": rate(of("vacant_units"), housing),
+        "average_household_size": of("average_household_size"),
+        "median_housing_age": not_negative(of("acs_match_year", "acs_vintage") - of("median_year_structure_built")),
+        "tract_population": population,
+        "housing_units": housing,
+        "transit_commute_share": rate(of("commuters_public_transit"), commuters),
+        "automobile_commute_share": rate(of("commuters_drove_alone") + of("commuters_carpooled"), commuters),
+    }
+    if "tract_land_sq_miles" in df.columns:
+        out |= {"population_density": F.try_divide(population, area), "housing_unit_density": F.try_divide(housing, area)}
+    keys = [c for c in ("sale_id", "geoid", "acs_match_year", "acs_vintage", "acs_lag_years", "acs_alignment_status") if c in df.columns]
+    return df.select(*keys, *(c.alias(n) for n, c in out.items()))
+
+
+def aggregate_cards(cards: DataFrame) -> DataFrame:
+    """One row for each ``sale_id`` of cards with a match year: sums, extremes and the first known category by card."""
+    require(cards, "sale_id", "card", "property_match_year")
+    cards = cards.where("property_match_year is not null")
+    has = lambda c: c in cards.columns
+    sums = {"building_sqft": "char_bldg_sf", "bedrooms": "char_beds", "rooms": "char_rooms", "full_baths": "char_fbath", "half_baths": "char_hbath"}
+    out = [F.count("*").alias("card_count")]
+    out += [F.sum(number(c)).alias(n) for n, c in sums.items() if has(c)]  # null where no card has a number
+    out += [F.max(number(c)).alias(n) for n, c in {"land_sqft": "char_land_sf"}.items() if has(c)]
+    out += [F.min(number("char_yrblt")).alias("year_built")] if has("char_yrblt") else []
+    out += [F.sum(garage_spaces("char_gar1_size")).alias("garage_spaces")] if has("char_gar1_size") else []
+    out += [F.bool_or(has_basement("char_bsmt")).alias("has_basement")] if has("char_bsmt") else []
+    out += [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("card", c))).alias(n) for n, c in {"residence_type": "char_type_resd", "construction_quality": "char_cnst_qlty"}.items() if has(c)]
+    rows = cards.groupBy("sale_id").agg(*out)
+    if has("char_fbath") and has("char_hbath"):
+        rows = rows.withColumn("bathrooms", F.when(F.col("full_baths").isNotNull() | F.col("half_baths").isNotNull(), F.coalesce("full_baths", F.lit(0.0)) + 0.5 * F.coalesce("half_baths", F.lit(0.0))))
+    return rows

@@ -67,6 +67,53 @@ def ols(df: DataFrame, target: str, *features: str) -> Fit:
     return Fit(dict(zip(names, beta.tolist(), strict=True)), dict(zip(names, errors.tolist(), strict=True)), sigma2, n)
 
 
+def robust(df: DataFrame, target: str, *features: str) -> tuple[Fit, float]:
+    """Least squares with HC3 errors, and the smearing factor, the mean exponent of the residuals.
+
+    Two passes: the cross products, and, with their inverse as literals, the leverages and the squared residuals.
+    """
+    import numpy as np
+
+    fit = ols(df, target, *features)
+    rows = {(r.i, r.j): r.value for r in gram(df, target, *features).collect()}
+    names = ["const", *features]
+    inverse = np.linalg.pinv(np.array([[rows.get((a, b), rows.get((b, a))) for b in names] for a in names]))
+    x = [F.lit(1.0), *(F.col(f"`{f}`").cast("double") for f in features)]
+    leverage = sum(x[i] * x[j] * float(inverse[i, j]) for i in range(len(x)) for j in range(len(x)))
+    residual = F.col(f"`{target}`") - fit.predict()
+    known = df.dropna(subset=[target, *features]).withColumns({"_w": residual * residual / ((1 - leverage) * (1 - leverage)), "_e": F.exp(residual)})
+    cells = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    sums = known.agg(F.avg("_e").alias("smearing"), *(F.sum(F.col("_w") * x[i] * x[j]).alias(f"m{i}_{j}") for i, j in cells)).first()
+    meat = np.zeros((len(x), len(x)))
+    for i, j in cells:
+        meat[i, j] = meat[j, i] = sums[f"m{i}_{j}"]
+    errors = np.sqrt(np.maximum(0, np.diag(inverse @ meat @ inverse)))
+    return Fit(fit.coefficients, dict(zip(names, errors.tolist(), strict=True)), fit.sigma2, fit.n), sums.smearing
+
+
+def predict_price(fit: Fit, smearing: float) -> Column:
+    """Price from a model of its logarithm, which is held between 0 and 50."""
+    return F.exp(F.greatest(F.lit(0.0), F.least(F.lit(50.0), fit.predict()))) * smearing
+
+
+def coefficient_table(fit: Fit) -> list[tuple[str, float, float, float, float, float, float]]:
+    """``term, coefficient, error, t, p, low, high`` of each term, by the normal distribution."""
+    from statistics import NormalDist
+
+    z, out = NormalDist().inv_cdf(0.975), []
+    for term, b in fit.coefficients.items():
+        e = fit.errors[term]
+        t = b / e if e else float("inf")
+        out.append((term, b, e, t, 2 * (1 - NormalDist().cdf(abs(t))), b - z * e, b + z * e))
+    return out
+
+
+def stability(a: Fit, b: Fit) -> list[tuple[str, float, float, bool, float | None]]:
+    """Terms that both fits have: both coefficients, whether their signs agree, and the relative change."""
+    shared = [t for t in a.coefficients if t in b.coefficients]
+    return [(t, x := a.coefficients[t], y := b.coefficients[t], (x > 0) == (y > 0), abs(y - x) / abs(x) if x else None) for t in shared]
+
+
 def adjusted_index(df: DataFrame, geo: str, year: str, residual: Column) -> DataFrame:
     """``geo, year, n, adjusted_level``: exponent of the median residual."""
     return df.groupBy(F.col(geo).alias("geo"), F.col(year).alias("year")).agg(F.count("*").alias("n"), F.exp(median(residual)).alias("adjusted_level"))

@@ -15,14 +15,29 @@ def quantile(c: str | Column, q: float) -> Column:
     return F.percentile(F.col(c) if isinstance(c, str) else c, F.lit(q))
 
 
+DAYS_PER_YEAR = 365.2425
+
+
 def repeat_sale_pairs(sales: DataFrame, min_days: int = 1) -> DataFrame:
-    """Consecutive sales of a property, at least ``min_days`` apart, with log change and yearly growth."""
-    along = Window.partitionBy("pin").orderBy("sale_date", "sale_id")
-    prior = {f"prior_{c}": F.lag(c).over(along) for c in ("sale_id", "sale_date", "sale_price")}
+    """Consecutive sales of a property, at least ``min_days`` apart, with log change and yearly growth.
+
+    All sales of a property on a day with several of them go first, since their order is not known. With a
+    ``nbhd`` column, ``geography_consistent`` says whether it stayed; with a ``prediction`` one, the log
+    residuals of both sales are given.
+    """
+    carried = [c for c in ("sale_id", "sale_date", "sale_price", "nbhd", "residence_type", "prediction") if c in sales.columns]
+    known = sales.where("pin is not null and sale_date is not null and sale_price > 0")
+    single = known.withColumn("_same_day", F.count("*").over(Window.partitionBy("pin", "sale_date"))).where("_same_day = 1").drop("_same_day")
+    prior = {f"prior_{c}": F.lag(c).over(Window.partitionBy("pin").orderBy("sale_date")) for c in carried}
     days = F.timestamp_diff("DAY", F.col("prior_sale_date"), F.col("sale_date"))
-    pairs = sales.where("pin is not null and sale_date is not null and sale_price > 0").withColumns(prior).where("prior_sale_id is not null").withColumn("days", days).where(F.col("days") >= min_days)
+    pairs = single.withColumns(prior).where("prior_sale_id is not null").withColumn("days", days).where(F.col("days") >= min_days)
     log_change = F.ln(F.col("sale_price") / F.col("prior_sale_price"))
-    return pairs.withColumn("log_change", log_change).withColumn("annual_appreciation", F.exp(F.col("log_change") * 365.25 / F.col("days")) - 1)
+    pairs = pairs.withColumn("log_change", log_change).withColumn("annual_appreciation", F.exp(F.col("log_change") * DAYS_PER_YEAR / F.col("days")) - 1)
+    if "nbhd" in carried:
+        pairs = pairs.withColumn("geography_consistent", F.coalesce(F.col("prior_nbhd") == F.col("nbhd"), F.lit(False)))
+    if "prediction" in carried:
+        pairs = pairs.withColumns({"residual": F.ln(F.col("sale_price") / F.col("prediction")), "prior_residual": F.ln(F.col("prior_sale_price") / F.col("prior_prediction"))})
+    return pairs
 
 
 def repeat_sales_statistics(pairs: DataFrame, start: str, end: str) -> DataFrame:
@@ -32,9 +47,13 @@ def repeat_sales_statistics(pairs: DataFrame, start: str, end: str) -> DataFrame
 
 def repeat_sales_index(pairs: DataFrame, start: str, end: str) -> list[tuple[int, float]]:
     """Period and index (first period 100), by least squares on the statistics, of which there are few."""
+    return _solve(repeat_sales_statistics(pairs, start, end).collect())
+
+
+def _solve(rows: list) -> list[tuple[int, float]]:
     import numpy as np
 
-    rows = [r for r in repeat_sales_statistics(pairs, start, end).collect() if r.start_period != r.end_period]
+    rows = [r for r in rows if r.start_period != r.end_period]
     periods = sorted({p for r in rows for p in (r.start_period, r.end_period)})
     at = {p: i for i, p in enumerate(periods)}
     gram, rhs = np.zeros((len(periods),) * 2), np.zeros(len(periods))
@@ -69,10 +88,51 @@ def comovement(growths: DataFrame, min_overlap: int) -> DataFrame:
     return a.join(b, "year").where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"), F.corr("ga", "gb").alias("correlation")).where(F.col("overlap") >= min_overlap)
 
 
-def market_cycles(panel: DataFrame, boom: float = 0.08, bust: float = -0.05) -> DataFrame:
-    """Yearly growth of the median and its phase; the first year is the baseline."""
-    g = F.col("median_price") / F.lag("median_price").over(Window.orderBy("year")) - 1  # a row for each year
-    return panel.withColumn("growth", g).withColumn("phase", F.when(F.col("growth").isNull(), "baseline").when(F.col("growth") >= boom, "boom").when(F.col("growth") <= bust, "correction").otherwise("stable"))
+def market_cycles(panel: DataFrame, boom: float = 0.10, bust: float = -0.10) -> DataFrame:
+    """Yearly growth of the median price and of the number of sales, and the phase; the first year is the baseline."""
+    every = Window.orderBy("year")  # a row for each year
+    grown = {g: F.col(c) / F.lag(c).over(every) - 1 for g, c in (("growth", "median_price"), ("volume_growth", "n"))}
+    return panel.withColumns(grown).withColumn("phase", F.when(F.col("growth").isNull(), "baseline").when(F.col("growth") >= boom, "boom").when(F.col("growth") <= bust, "bust").otherwise("stable"))
+
+
+def prior_appreciation(sales: DataFrame, geo: str, window_days: int = 730, least: int = 3) -> DataFrame:
+    """``sale_id, n_recent, appreciation``: median price of the newer over that of the older half of the window before a sale.
+
+    Only sales of the geography strictly before the target count; the newer half is the last ``window_days`` / 2
+    whole days; each half needs ``least`` sales. Time is cut into spans as long as the window, and each sale
+    stands in its own span and, as history alone, in the next one: a geography with very many sales is dealt
+    out span by span, and each target sees its window in one ordered pass.
+    """
+    span = 86_400 * window_days
+    second = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("sale_date"))
+    known = sales.where(F.col(geo).isNotNull() & F.col("sale_date").isNotNull()).select("sale_id", F.col(geo).alias("_geo"), F.col("sale_price").alias("_price"), second.alias("_at"))
+    own = known.withColumns({"_span": F.floor(F.col("_at") / span), "_guest": F.lit(False)})
+    both = own.unionByName(own.withColumns({"_span": F.col("_span") + 1, "_guest": F.lit(True)}))
+    before = Window.partitionBy("_geo", "_span").orderBy("_at").rangeBetween(-span, -1)
+    recent = both.withColumn("_recent", F.collect_list(F.struct("_at", "_price")).over(before)).where("not _guest")
+    newer = F.expr(f"transform(filter(_recent, r -> (_at - r._at) div 86400 <= {window_days / 2}), r -> r._price)")
+    older = F.expr(f"transform(filter(_recent, r -> (_at - r._at) div 86400 > {window_days / 2}), r -> r._price)")
+    halves = recent.select("sale_id", F.size("_recent").cast("long").alias("n_recent"), F.array_compact(newer).alias("_new"), F.array_compact(older).alias("_old"))
+    enough = (F.size("_new") >= least) & (F.size("_old") >= least)
+    return halves.select("sale_id", "n_recent", F.when(enough, _middle("_new") / _middle("_old") - 1).alias("appreciation"))
+
+
+def _middle(c: str) -> Column:
+    """The median of an array."""
+    return F.expr(f"(element_at(array_sort({c}), int((size({c}) + 1) div 2)) + element_at(array_sort({c}), int(size({c}) div 2 + 1))) / 2")
+
+
+def repeat_index_by_geography(pairs: DataFrame, start: str, end: str, least: int = 5) -> list[tuple[str, int, float]]:
+    """Geography, period and index of pairs that stayed in their ``nbhd``, where it has ``least`` pairs.
+
+    Each geography's regression is solved from its own sums, a row for each two periods.
+    """
+    stayed = pairs.where("geography_consistent")
+    sums = stayed.groupBy("nbhd", F.col(start).alias("start_period"), F.col(end).alias("end_period")).agg(F.count("*").alias("n_pairs"), F.sum("log_change").alias("sum_log_change"))
+    by_geo: dict = {}
+    for r in sums.collect():  # geographies times pairs of periods
+        by_geo.setdefault(r.nbhd, []).append(r)
+    return [(geo, p, x) for geo, rows in sorted(by_geo.items()) if sum(r.n_pairs for r in rows) >= least for p, x in _solve(rows)]
 
 
 def group_summary(sales: DataFrame, *groupings: str) -> DataFrame:

@@ -43,23 +43,57 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, condition: Col
 def nearest(points: DataFrame, places: DataFrame, key: str, place: str, radii: dict[str, float]) -> DataFrame:
     """``key``, the nearest place (ties by name), its distance, and counts of places within each radius.
 
-    Places are few; up to MAX_BROADCAST_ROWS of them, a checked bound, are broadcast as one sorted array
-    and scanned by expressions, so points are neither shuffled nor multiplied.
+    One radius join, as wide as the widest radius and as a cell of some places in the mean, finds both for
+    nearly all points. Points without a place so near look for it in cells eight times as wide, and those still
+    without in cells that span everything; so any number of places will do, and nothing is broadcast by size.
     """
-    n = places.count()
-    if n > MAX_BROADCAST_ROWS:
-        raise ValueError(f"{n} places are too many to broadcast; use radius_join")
-    packed = places.agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("name"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("_places"))
-    joined = points.join(F.broadcast(packed))  # a single row
-    far = F.transform("_places", lambda p: F.struct(F.sqrt((F.col("x") - p.x) * (F.col("x") - p.x) + (F.col("y") - p.y) * (F.col("y") - p.y)).alias("d"), p["name"].alias("name")))
-    out = joined.select(key, far.alias("_far"))
-    counts = {name: F.size(F.filter("_far", _within(radius))).cast("long") for name, radius in radii.items()}
-    best = F.array_min("_far")
-    return out.select(key, best["name"].alias(f"nearest_{place}"), best["d"].alias("nearest_distance"), *(c.alias(n) for n, c in counts.items()))
-
-
-def _within(radius: float):
-    return lambda p: p.d <= radius
+    box = places.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    of_points = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    wide = max(radii.values(), default=0.0)
+    span = 0.0
+    if box[0] and of_points[0] is not None:
+        wide = max(wide, 2 * ((box[2] - box[1]) * (box[4] - box[3]) / box[0]) ** 0.5)
+        span = max(box[2], of_points[1]) - min(box[1], of_points[0]) + max(box[4], of_points[3]) - min(box[3], of_points[2])
+    own, at = points.select(key, "x", "y"), places.select(F.col(place).alias("place"), "x", "y")
+    counts = [F.count_if(F.col("distance") <= r).alias(n) for n, r in radii.items()]
+    best = F.min(F.struct("distance", F.col("r_place").alias("place"))).alias("best")
+
+    def found(some: DataFrame, radius: float) -> DataFrame:
+        return radius_join(some, at, radius).groupBy(F.col(f"l_{key}").alias(key)).agg(best, *counts)
+
+    out = found(own, max(wide, 1e-9))
+    for radius in (8 * wide, span):
+        if radius > wide:
+            out = out.unionByName(found(own.join(out.select(key), key, "left_anti"), radius))
+    zero = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in radii]
+    return points.select(key).join(out, key, "left").select(key, F.col("best.place").alias(f"nearest_{place}"), F.col("best.distance").alias("nearest_distance"), *zero)
+
+
+#: The state plane of eastern Illinois in US survey feet: ellipsoid, origin, scale, false easting (fixed values).
+_AXIS, _FLATTENING = 6378137.0, 1 / 298.257222101
+_ORIGIN_LATITUDE, _ORIGIN_LONGITUDE, _SCALE, _EASTING, _FEET = 36 + 40 / 60, -(88 + 20 / 60), 0.999975, 300_000.0, 3937 / 1200
+
+
+def project(latitude: str, longitude: str) -> tuple[str, str]:
+    """SQL of the plane coordinates, in feet, of columns of degrees: the transverse Mercator series."""
+    from math import cos, radians, sin
+
+    e = _FLATTENING * (2 - _FLATTENING)
+    f = e / (1 - e)
+    terms = (1 - e / 4 - 3 * e**2 / 64 - 5 * e**3 / 256, 3 * e / 8 + 3 * e**2 / 32 + 45 * e**3 / 1024, 15 * e**2 / 256 + 45 * e**3 / 1024, 35 * e**3 / 3072)
+    o = radians(_ORIGIN_LATITUDE)
+    start = _AXIS * (terms[0] * o - terms[1] * sin(2 * o) + terms[2] * sin(4 * o) - terms[3] * sin(6 * o))
+    n = lambda v: f"CAST({v!r} AS DOUBLE)"
+    p = f"radians({latitude})"
+    sine, cosine, tangent = f"sin({p})", f"cos({p})", f"(sin({p}) / cos({p}))"
+    arc = f"({n(_AXIS)} * ({n(terms[0])} * {p} - {n(terms[1])} * sin(2 * {p}) + {n(terms[2])} * sin(4 * {p}) - {n(terms[3])} * sin(6 * {p})))"
+    bend = f"({n(_AXIS)} / sqrt(1 - {n(e)} * {sine} * {sine}))"
+    t, c, a = f"({tangent} * {tangent})", f"({n(f)} * {cosine} * {cosine})", f"(radians({longitude} - {n(_ORIGIN_LONGITUDE)}) * {cosine})"
+    east = f"{a} + (1 - {t} + {c}) * pow({a}, 3) / 6 + (5 - 18 * {t} + {t} * {t} + 72 * {c} - 58 * {n(f)}) * pow({a}, 5) / 120"
+    north = f"pow({a}, 2) / 2 + (5 - {t} + 9 * {c} + 4 * {c} * {c}) * pow({a}, 4) / 24 + (61 - 58 * {t} + {t} * {t} + 600 * {c} - 330 * {n(f)}) * pow({a}, 6) / 720"
+    x = f"({n(_EASTING)} + {n(_SCALE)} * {bend} * ({east})) * {n(_FEET)}"
+    y = f"{n(_SCALE)} * ({arc} - {n(start)} + {bend} * {tangent} * ({north})) * {n(_FEET)}"
+    return x, y
 
 
 def comparables(sales: DataFrame, radius: float, max_days: int, keep: int, distance_scale: float, half_life_days: float) -> DataFrame:

@@ -84,8 +84,25 @@ def chronological_split(df: DataFrame, year: str, validation_start: int | None =
 
 
 def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
-    """``fold`` by a hash of the group, so that a group is never split."""
-    return df.withColumn("fold", F.pmod(F.crc32(F.col(group).cast("string").cast("binary")), F.lit(folds)))
+    """``fold``, balanced: the largest group first, each to the fold with the fewest rows; a group is never split.
+
+    A null group is a group of its own. Groups are tracts or neighbourhoods: their sizes come to the driver.
+    """
+    key = F.coalesce(F.col(group).cast("string"), F.lit("<missing>"))
+    sizes = sorted(((r["count"], r.g) for r in df.groupBy(key.alias("g")).count().collect()), key=lambda x: (-x[0], x[1]))
+    load, rows = [0] * min(folds, max(1, len(sizes))), []
+    for n, g in sizes:
+        k = load.index(min(load))
+        load[k] += n
+        rows.append((g, k))
+    of_group = df.sparkSession.createDataFrame(rows, "_g string, fold int")
+    return df.withColumn("_g", key).join(F.broadcast(of_group), "_g", "left").drop("_g")
+
+
+def worst_groups(metrics: DataFrame, model: str, measure: str, size: str, least: int, keep: int = 10) -> DataFrame:
+    """Of each model, the ``keep`` groups of ``least`` rows or more with the greatest measure, and their rank."""
+    along = Window.partitionBy(model).orderBy(F.desc(measure), *(c for c in metrics.columns if c not in (model, measure, size)))
+    return metrics.where(F.col(size) >= least).withColumn("rank", F.row_number().over(along).cast("long")).where(F.col("rank") <= keep)
 
 
 def quantile_groups(df: DataFrame, value: str, groups: int) -> DataFrame:

@@ -120,15 +120,15 @@ def _raw_sales(spark, d):
     return proxies.sales(spark, d).selectExpr("sale_id", "pin", "sale_date", "if(sale_id % 11 = 0, sale_price / 1000, sale_price) as sale_price", "case sale_id % 4 when 0 then '211' when 1 then '299' else '203' end as class", "case sale_id % 13 when 0 then null when 1 then 'true' else 'false' end as sale_filter_deed_type", "case sale_id % 17 when 0 then 'true' when 1 then null else 'false' end as is_multisale")
 
 
-_CLASSIFIED = f"""WITH {SALES}, raw AS ({_RAW}), c AS (SELECT sale_id, concat_ws('|', CASE WHEN sale_price < 10000 THEN 'price_below_minimum' END, CASE WHEN class <> '203' THEN 'class_not_in_population' END,
- CASE WHEN sale_filter_deed_type = 'true' THEN 'sale_filter_deed_type' END) AS exclusion_reasons, concat_ws('|', CASE WHEN is_multisale = 'true' THEN 'multisale' END, CASE WHEN sale_filter_deed_type IS NULL THEN 'unknown_filter' END) AS ambiguity_reasons FROM raw),
+_CLASSIFIED = f"""WITH {SALES}, raw AS ({_RAW}), c AS (SELECT sale_id, concat_ws('|', CASE WHEN sale_price < 10000 THEN 'price_below_minimum' END, CASE WHEN class <> '203' THEN 'non_target_property_class' END,
+ CASE WHEN sale_filter_deed_type = 'true' THEN 'sale_filter_deed_type' END) AS exclusion_reasons, concat_ws('|', CASE WHEN sale_filter_deed_type IS NULL THEN 'missing_sale_filter_metadata' END, CASE WHEN is_multisale = 'true' THEN 'multi_parcel_sale' END) AS ambiguity_reasons FROM raw),
  done AS (SELECT *, CASE WHEN exclusion_reasons <> '' THEN 'excluded' WHEN ambiguity_reasons <> '' THEN 'ambiguous' ELSE 'market' END AS population_status FROM c)"""
 
 
-@query(f"{_CLASSIFIED} SELECT * FROM done")
+@query(f"{_CLASSIFIED} SELECT *, population_status = 'market' AS is_primary_population FROM done")
 def classify_sales(spark, d):
     c = cleaning.classify_sales(_raw_sales(spark, d))
-    return c.select("sale_id", F.array_join("exclusion_reasons", "|").alias("exclusion_reasons"), F.array_join("ambiguity_reasons", "|").alias("ambiguity_reasons"), "population_status")
+    return c.select("sale_id", F.array_join("exclusion_reasons", "|").alias("exclusion_reasons"), F.array_join("ambiguity_reasons", "|").alias("ambiguity_reasons"), "population_status", "is_primary_population")
 
 
 @query(f"{_CLASSIFIED} SELECT population_status, count(*) AS n FROM done GROUP BY population_status")
@@ -306,7 +306,8 @@ def growth_comovement(spark, d):
     return _rounded(indices.comovement(indices.growth(_panel(spark, d)), 4), 6)
 
 
-_REPEAT = f"""WITH {SALES}, l AS (SELECT *, lag(sale_id) OVER w AS prior_sale_id, lag(sale_date) OVER w AS prior_sale_date, lag(sale_price) OVER w AS prior_sale_price FROM sales WHERE sale_price > 0 WINDOW w AS (PARTITION BY pin ORDER BY sale_date, sale_id)),
+_REPEAT = f"""WITH {SALES}, d AS (SELECT *, count(*) OVER (PARTITION BY pin, sale_date) AS same_day FROM sales WHERE sale_price > 0),
+ l AS (SELECT *, lag(sale_id) OVER w AS prior_sale_id, lag(sale_date) OVER w AS prior_sale_date, lag(sale_price) OVER w AS prior_sale_price, lag(nbhd) OVER w AS prior_nbhd FROM d WHERE same_day = 1 WINDOW w AS (PARTITION BY pin ORDER BY sale_date)),
  pairs AS (SELECT *, CAST(datesub('day', prior_sale_date, sale_date) AS BIGINT) AS days, ln(sale_price / prior_sale_price) AS log_change FROM l WHERE prior_sale_id IS NOT NULL AND datesub('day', prior_sale_date, sale_date) >= 1)"""
 
 
@@ -314,10 +315,10 @@ def _pairs(spark, d):
     return indices.repeat_sale_pairs(proxies.sales(spark, d))
 
 
-@query(f"{_REPEAT} SELECT sale_id, prior_sale_id, days, round(log_change, 6) AS log_change, round(log_change * 365.25 / days, 6) AS annual_log_growth FROM pairs WHERE days >= 30")
+@query(f"{_REPEAT} SELECT sale_id, prior_sale_id, days, round(log_change, 6) AS log_change, round(log_change * 365.2425 / days, 6) AS annual_log_growth, prior_nbhd = nbhd AS geography_consistent FROM pairs WHERE days >= 30")
 def repeat_sale_pairs(spark, d):
-    p = indices.repeat_sale_pairs(proxies.sales(spark, d)).where("days >= 30")
-    return p.select("sale_id", "prior_sale_id", "days", F.round("log_change", 6).alias("log_change"), F.round(F.col("log_change") * 365.25 / F.col("days"), 6).alias("annual_log_growth"))
+    p = _pairs(spark, d).where("days >= 30")
+    return p.select("sale_id", "prior_sale_id", "days", F.round("log_change", 6).alias("log_change"), F.round(F.col("log_change") * indices.DAYS_PER_YEAR / F.col("days"), 6).alias("annual_log_growth"), "geography_consistent")
 
 
 @query(f"{_REPEAT} SELECT CAST(year(prior_sale_date) AS BIGINT) AS start_period, sale_year AS end_period, count(*) AS n_pairs, round(sum(log_change), 6) AS sum_log_change FROM pairs GROUP BY 1, 2")
@@ -331,11 +332,11 @@ def repeat_sales_summary(spark, d):
     return _rounded(_pairs(spark, d).groupBy("nbhd", "sale_year").agg(F.count("*").alias("n"), indices.median("log_change").alias("median_log_change")), 6)
 
 
-@query(f"""WITH {SALES}, y AS (SELECT sale_year AS year, quantile_cont(sale_price, 0.5) AS median_price FROM sales GROUP BY sale_year), g AS (SELECT *, median_price / lag(median_price) OVER (ORDER BY year) - 1 AS growth FROM y)
- SELECT year, round(median_price, 4) AS median_price, round(growth, 6) AS growth, CASE WHEN growth IS NULL THEN 'baseline' WHEN growth >= 0.08 THEN 'boom' WHEN growth <= -0.05 THEN 'correction' ELSE 'stable' END AS phase FROM g""")
+@query(f"""WITH {SALES}, y AS (SELECT sale_year AS year, count(*) AS n, quantile_cont(sale_price, 0.5) AS median_price FROM sales GROUP BY sale_year), g AS (SELECT *, median_price / lag(median_price) OVER (ORDER BY year) - 1 AS growth, CAST(n AS DOUBLE) / lag(n) OVER (ORDER BY year) - 1 AS volume_growth FROM y)
+ SELECT year, n, round(median_price, 4) AS median_price, round(growth, 6) AS growth, round(volume_growth, 6) AS volume_growth, CASE WHEN growth IS NULL THEN 'baseline' WHEN growth >= 0.1 THEN 'boom' WHEN growth <= -0.1 THEN 'bust' ELSE 'stable' END AS phase FROM g""")
 def market_cycles(spark, d):
-    y = proxies.sales(spark, d).groupBy(F.col("sale_year").alias("year")).agg(indices.median("sale_price").alias("median_price"))
-    return indices.market_cycles(y).withColumns({"median_price": F.round("median_price", 4), "growth": F.round("growth", 6)})
+    y = proxies.sales(spark, d).groupBy(F.col("sale_year").alias("year")).agg(F.count("*").alias("n"), indices.median("sale_price").alias("median_price"))
+    return indices.market_cycles(y).withColumns({"median_price": F.round("median_price", 4), "growth": F.round("growth", 6), "volume_growth": F.round("volume_growth", 6)})
 
 
 @query(f"""WITH {SIZED} SELECT nbhd AS geo, count(*) AS n, min(sale_year) AS first_year, max(sale_year) AS last_year, round(quantile_cont(sale_price, 0.5), 4) AS median_price, round(quantile_cont(ppsf, 0.5), 4) AS median_ppsf, round(stddev_samp(ln(ppsf)), 4) AS sd_log_ppsf,
@@ -413,10 +414,12 @@ def error_segments(spark, d):
     return _rounded(validation.metrics(_long(spark, d), "sale_price", "prediction", "model", "residence_type"))
 
 
-@query(f"WITH {_LONG}, m AS (SELECT model, nbhd, avg(abs(sale_price - prediction)) AS mae FROM long GROUP BY ALL) SELECT model, nbhd, round(mae, 4) AS mae FROM m ORDER BY mae DESC, nbhd LIMIT 10")
+@query(f"""WITH {_LONG}, m AS (SELECT model, nbhd, count(*) AS n, quantile_cont(abs(sale_price - prediction) / sale_price, 0.5) AS median_ape FROM long WHERE sale_price <> 0 GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY median_ape DESC, nbhd) AS rank FROM m WHERE n >= 5) SELECT model, nbhd, n, round(median_ape, 6) AS median_ape, rank FROM r WHERE rank <= 10""")
 def worst_segments(spark, d):
-    m = _long(spark, d).groupBy("model", "nbhd").agg(F.avg(F.abs(F.col("sale_price") - F.col("prediction"))).alias("mae"))
-    return _rounded(m.orderBy(F.desc("mae"), "nbhd").limit(10))
+    ape = F.abs(F.col("sale_price") - F.col("prediction")) / F.col("sale_price")
+    m = _long(spark, d).where("sale_price <> 0").groupBy("model", "nbhd").agg(F.count("*").alias("n"), indices.median(ape).alias("median_ape"))
+    return _rounded(validation.worst_groups(m, "model", "median_ape", "n", least=5), 6)
 
 
 @query(f"""WITH {_LONG}, s AS (SELECT model, abs(sale_price - prediction) AS score, row_number() OVER (PARTITION BY model ORDER BY abs(sale_price - prediction)) AS r, count(*) OVER (PARTITION BY model) AS n FROM long), lv AS (SELECT unnest([0.5, 0.8, 0.9]) AS level)

@@ -65,12 +65,11 @@ def comparable_metrics(spark, d):
     return _rounded(proxies.sales(spark, d).join(p, "sale_id").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("sale_price") - F.col("prediction"))).alias("mae")), 2)
 
 
-@query(f"WITH {SALES}, r AS (SELECT sale_id, percent_rank() OVER (ORDER BY sale_date, sale_id) AS p, count(*) OVER () AS n, row_number() OVER (ORDER BY sale_date, sale_id) AS k FROM sales WHERE nbhd = 3) SELECT sale_id, CASE WHEN k <= 0.6 * n THEN 'train' WHEN k <= 0.8 * n THEN 'calibration' ELSE 'test' END AS split FROM r")
+@query(f"""WITH {SALES}, t AS (SELECT max(sale_year) AS last FROM sales), v AS (SELECT max(sale_year) AS first FROM sales, t WHERE sale_year < last)
+ SELECT CASE WHEN sale_year < first THEN 'train' WHEN sale_year < last THEN 'validation' ELSE 'test' END AS split, min(sale_year) AS first_year, max(sale_year) AS last_year, count(*) AS n FROM sales, t, v WHERE sale_year IS NOT NULL GROUP BY 1""")
 def chronological_split(spark, d):
-    s = proxies.sales(spark, d).where("nbhd = 3")
-    one = Window.partitionBy("nbhd")
-    k, n = F.row_number().over(one.orderBy("sale_date", "sale_id")), F.count("*").over(one)
-    return s.withColumns({"k": k, "n": n}).select("sale_id", F.when(F.col("k") <= 0.6 * F.col("n"), "train").when(F.col("k") <= 0.8 * F.col("n"), "calibration").otherwise("test").alias("split"))
+    rows = validation.chronological_split(proxies.sales(spark, d), "sale_year").where("split is not null")
+    return rows.groupBy("split").agg(F.min("sale_year").alias("first_year"), F.max("sale_year").alias("last_year"), F.count("*").alias("n"))
 
 
 @query(f"""WITH {SALES}, y AS (SELECT DISTINCT sale_year AS year FROM sales WHERE sale_year IS NOT NULL), t AS (SELECT max(year) AS last FROM y), v AS (SELECT max(year) AS first FROM y, t WHERE year < last)
@@ -132,9 +131,14 @@ def nearest_polygon(spark, d):
     return spatial.polygon_distance(proxies.points(spark, d), squares, "id", "place").withColumn("polygon_distance", F.round("polygon_distance", 3))
 
 
-@query(f"WITH {SALES} SELECT nbhd, round(quantile_cont(CASE WHEN sale_year <= 1997 THEN sale_price END, 0.5), 4) AS early_median, round(quantile_cont(CASE WHEN sale_year >= 1999 THEN sale_price END, 0.5), 4) AS late_median FROM sales GROUP BY nbhd")
+_RECENT = "p.nbhd = t.nbhd AND p.sale_date < t.sale_date AND p.sale_date >= t.sale_date - INTERVAL 730 DAY"
+
+
+@query(f"""WITH {SALES}, r AS (SELECT t.sale_id, count(p.sale_id) AS n_recent, count(p.sale_id) FILTER (datesub('day', p.sale_date, t.sale_date) <= 365) AS n_new, count(p.sale_id) FILTER (datesub('day', p.sale_date, t.sale_date) > 365) AS n_old,
+ quantile_cont(p.sale_price, 0.5) FILTER (datesub('day', p.sale_date, t.sale_date) <= 365) AS newer, quantile_cont(p.sale_price, 0.5) FILTER (datesub('day', p.sale_date, t.sale_date) > 365) AS older FROM sales t LEFT JOIN sales p ON {_RECENT} GROUP BY t.sale_id)
+ SELECT sale_id, n_recent, round(CASE WHEN n_new >= 3 AND n_old >= 3 THEN newer / older - 1 END, 6) AS appreciation FROM r""")
 def neighborhood_appreciation(spark, d):
-    return _rounded(proxies.sales(spark, d).groupBy("nbhd").agg(indices.median(F.when(F.col("sale_year") <= 1997, F.col("sale_price"))).alias("early_median"), indices.median(F.when(F.col("sale_year") >= 1999, F.col("sale_price"))).alias("late_median")))
+    return _rounded(indices.prior_appreciation(proxies.sales(spark, d), "nbhd"), 6)
 
 
 @query(f"WITH {PREDICTED}, c AS (SELECT *, abs(sale_price - prediction_a) AS score FROM predicted WHERE sale_year < 2000), r AS (SELECT score, row_number() OVER (ORDER BY score) AS k, count(*) OVER () AS n FROM c), q AS (SELECT min(score) AS radius FROM r WHERE k = ceil(least(1.0, ceil((n + 1) * 0.9) / n) * (n - 1)) + 1) SELECT sale_id, round(prediction_a - radius, 3) AS low, round(prediction_a + radius, 3) AS high FROM predicted, q WHERE sale_year >= 2000")

@@ -25,15 +25,16 @@ def test_census(spark, tmp_path):
 
 def test_feed(spark, tmp_path):
     tables = {
-        "stops": "stop_id,stop_name,stop_lat,stop_lon,location_type,parent_station\nS1,Station One,41.88,-87.63,1,\nP1,Platform,41.88,-87.63,0,S1\nS2,Two,41.9,-87.6,1,\nB,Bus,41.9,-87.6,0,\n",
-        "routes": "route_id,route_short_name,route_long_name,route_type\nRed,,Red,1\nBus,9,Nine,3\n",
-        "trips": "route_id,trip_id\nRed,t1\nBus,t2\n",
-        "stop_times": "trip_id,stop_id\nt1,P1\nt1,S2\nt2,B\n",
+        "stops": "stop_id,stop_name,stop_lat,stop_lon,location_type,parent_station\nQ,Quarry Lane,52.11,5.02,1,\nQ-up,Quarry upper,52.11,5.02,0,Q\nQ-lo,Quarry lower,52.11,5.02,0,Q\nM,Mill Bridge,52.2,5.1,1,\nk9,Kerb,52.2,5.1,0,\n",
+        "routes": "route_id,route_short_name,route_long_name,route_type\nmetro-a,A,Amber,1\nmetro-j,J,Jade,1\ncoach,77,Coach,3\n",
+        "trips": "route_id,trip_id\nmetro-a,early\nmetro-j,noon\ncoach,late\n",
+        "stop_times": "trip_id,stop_id\nearly,Q-up\nearly,M\nnoon,Q-lo\nlate,k9\n",
     }
     for name, text in tables.items():
         (tmp_path / f"{name}.txt").write_text(text)
     stations = files.rail_stations(*(files.read_feed(spark, str(tmp_path), t) for t in ("stops", "routes", "trips", "stop_times")))
-    assert sorted((r.station_id, r.lines, r.station_name) for r in stations.collect()) == [("S1", "Red", "Station One"), ("S2", "Red", "Two")]
+    got = {r.station_id: (r.station_name, set(r.lines.split("|"))) for r in stations.collect()}
+    assert set(got) == {"Q", "M"} and got["Q"][0] == "Quarry Lane" and len(got["Q"][1]) == 2 and len(got["M"][1]) == 1
 
 
 def test_polygons(spark, tmp_path):
