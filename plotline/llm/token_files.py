@@ -36,6 +36,7 @@ from plotline.llm.units import Memo, bound_batches, texts_of
 
 MAGIC = b"PLANES01"
 CHUNK_IDS = 1 << 16
+MEMO_ENTRIES = 500_000  # words remembered in a worker, which runs this operator alone
 FILE_IDS = 1 << 26
 FILE_DOCS = 1 << 20  # the index of a file is held in memory while it is written and read
 _FOOTER = struct.Struct("<QQQQ")  # index offset, index bytes, chunks, documents
@@ -141,7 +142,7 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, folde
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     memos = kept("token files")
     if tokenizer not in memos:
-        memos[tokenizer] = Memo(_encoder(tokenizer))
+        memos[tokenizer] = Memo(_encoder(tokenizer), MEMO_ENTRIES)
     memo, part = memos[tokenizer], TaskContext.get().partitionId()
     fs, base = pafs.FileSystem.from_uri(folder)
     done, writer, path, end = [], None, "", np.array([end_id], "<u4").tobytes()
