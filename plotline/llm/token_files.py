@@ -36,7 +36,7 @@ from plotline.llm.units import Memo, bound_batches, texts_of
 
 MAGIC = b"PLANES01"
 CHUNK_IDS = 1 << 16
-MEMO_ENTRIES = 500_000  # words remembered in a worker, which runs this operator alone
+MEMO_ENTRIES = 900_000  # words remembered in a worker, which runs this operator alone
 FILE_IDS = 1 << 26
 FILE_DOCS = 1 << 20  # the index of a file is held in memory while it is written and read
 _FOOTER = struct.Struct("<QQQQ")  # index offset, index bytes, chunks, documents
