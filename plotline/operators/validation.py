@@ -100,8 +100,8 @@ def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
 
 
 def worst_groups(metrics: DataFrame, model: str, measure: str, size: str, least: int, keep: int = 10) -> DataFrame:
-    """Of each model, the ``keep`` groups of ``least`` rows or more with the greatest measure, and their rank."""
-    along = Window.partitionBy(model).orderBy(F.desc(measure), *(c for c in metrics.columns if c not in (model, measure, size)))
+    """Of each model, the ``keep`` groups of ``least`` rows or more with the greatest measure (to nine places), and their rank."""
+    along = Window.partitionBy(model).orderBy(F.desc(F.round(measure, 9)), *(c for c in metrics.columns if c not in (model, measure, size)))
     return metrics.where(F.col(size) >= least).withColumn("rank", F.row_number().over(along).cast("long")).where(F.col("rank") <= keep)
 
 

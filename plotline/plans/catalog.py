@@ -415,7 +415,7 @@ def error_segments(spark, d):
 
 
 @query(f"""WITH {_LONG}, m AS (SELECT model, nbhd, count(*) AS n, quantile_cont(abs(sale_price - prediction) / sale_price, 0.5) AS median_ape FROM long WHERE sale_price <> 0 GROUP BY ALL),
- r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY median_ape DESC, nbhd) AS rank FROM m WHERE n >= 5) SELECT model, nbhd, n, round(median_ape, 6) AS median_ape, rank FROM r WHERE rank <= 10""")
+ r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(median_ape, 9) DESC, nbhd) AS rank FROM m WHERE n >= 5) SELECT model, nbhd, n, round(median_ape, 6) AS median_ape, rank FROM r WHERE rank <= 10""")
 def worst_segments(spark, d):
     ape = F.abs(F.col("sale_price") - F.col("prediction")) / F.col("sale_price")
     m = _long(spark, d).where("sale_price <> 0").groupBy("model", "nbhd").agg(F.count("*").alias("n"), indices.median(ape).alias("median_ape"))
