@@ -36,7 +36,7 @@ from plotline.llm.units import Memo, bound_batches, texts_of
 
 MAGIC = b"PLANES01"
 CHUNK_IDS = 1 << 16
-MEMO_ENTRIES = 900_000  # words remembered in a worker, which runs this operator alone
+MEMO_ENTRIES = 500_000  # words remembered in a worker, which runs this operator alone
 FILE_IDS = 1 << 26
 FILE_DOCS = 1 << 20  # the index of a file is held in memory while it is written and read
 _FOOTER = struct.Struct("<QQQQ")  # index offset, index bytes, chunks, documents
@@ -178,7 +178,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     spark = docs.sparkSession
     bound_batches(spark)
     folder = folder or shared_dir(spark)
-    ordered = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("of_text"), F.monotonically_increasing_id().alias("row")).repartitionByRange("doc_id", "of_text", "row").sortWithinPartitions("doc_id", "of_text", "row")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("of_text"), F.monotonically_increasing_id().alias("row")).repartitionByRange("doc_id", "of_text", "row").sortWithinPartitions("doc_id", "of_text", "row").select("doc_id", "text")
     schema = "part int, seq int, path string, n_docs long, n_ids long"
     files = materialize(ordered.mapInArrow(partial(_write, tokenizer=tokenizer, end_id=end_id, folder=folder), schema))
     before = F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
