@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotline.llm import bpe, decontaminate, imatch, licenses, lm, pii, quality, sharding, simhash, token_files
+from plotline.llm import bpe, conversation_trie, decontaminate, filter_audit, imatch, licenses, lm, pii, quality, sharding, simhash, substring_dedup, token_files
 from plotline.llm.common import ship, table
 
 
@@ -65,6 +65,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.build(table(spark, sf_dir, "conversations"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +98,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_token_files": op9_token_files,
         "op10_simhash": op10_simhash,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_substring_dedup": op13_substring_dedup,
     }
     return {name: _shipping(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others are fuzzy, fitted, encoded or reached over many steps, which SQL does not express."""
-    return {"op1_licenses": licenses.sql()}
+    return {
+        "op1_licenses": licenses.sql(),
+        "op11_conversation_trie": conversation_trie.sql(),
+        "op12_filter_audit": filter_audit.sql(),
+        "op13_substring_dedup": substring_dedup.sql(),
+    }
