@@ -45,7 +45,7 @@ def _audit(rows, labels):
     for doc_id, text, *_ in rows:
         if doc_id is not None:
             least[text or ""] = min(doc_id, least.get(text or "", doc_id))
-    good, toxic = ({x[0] for x in labels if x[k] == 1} for k in (1, 2))
+    good, toxic = ({x[0] for x in labels if x[k] == 1 and x[0] is not None} for k in (1, 2))
     want = defaultdict(lambda: [0] * 7)
     for doc_id, text, _, source, *_ in rows:
         text, part = text or "", source or ""
