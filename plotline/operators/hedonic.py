@@ -7,14 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotline.operators.indices import median
+from plotline.operators.order_stats import many_quantiles, quantiles
 from plotline.operators.validation import gram
 
 
 def impute_median(df: DataFrame, *columns: str) -> DataFrame:
-    """``column`` filled with its median, and ``column_missing``; all medians in one pass."""
-    fit = df.agg(*(median(c).alias(f"_m_{c}") for c in columns))
-    filled = df.join(F.broadcast(fit))
+    """``column`` filled with its exact median, and ``column_missing``; all medians from the same passes."""
+    fit = many_quantiles(df, [], {c: F.col(c) for c in columns}, {"median": 0.5})
+    filled = df.join(F.broadcast(fit.select(*(F.col(f"{c}_median").alias(f"_m_{c}") for c in columns))))
     for c in columns:
         filled = filled.withColumn(f"{c}_missing", F.col(c).isNull()).withColumn(c, F.coalesce(c, f"_m_{c}"))
     return filled.drop(*(f"_m_{c}" for c in columns))
@@ -116,4 +116,7 @@ def stability(a: Fit, b: Fit) -> list[tuple[str, float, float, bool, float | Non
 
 def adjusted_index(df: DataFrame, geo: str, year: str, residual: Column) -> DataFrame:
     """``geo, year, n, adjusted_level``: exponent of the median residual."""
-    return df.groupBy(F.col(geo).alias("geo"), F.col(year).alias("year")).agg(F.count("*").alias("n"), F.exp(median(residual)).alias("adjusted_level"))
+    found = quantiles(df, [geo, year], residual, {"middle": 0.5}).drop("n")
+    counts = df.groupBy(geo, year).agg(F.count("*").alias("n")).alias("c")
+    same = F.expr(f"c.{geo} <=> q.{geo} and c.{year} <=> q.{year}")
+    return counts.join(found.alias("q"), same, "left").select(F.col(f"c.{geo}").alias("geo"), F.col(f"c.{year}").alias("year"), "n", F.exp("middle").alias("adjusted_level"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plotline.operators.order_stats import many_quantiles
+from plotline.operators.tables import settled
+
 
 def median(c: str | Column) -> Column:
     return F.percentile(F.col(c) if isinstance(c, str) else c, F.lit(0.5))
@@ -136,11 +139,14 @@ def repeat_index_by_geography(pairs: DataFrame, start: str, end: str, least: int
 
 
 def group_summary(sales: DataFrame, *groupings: str) -> DataFrame:
-    """Counts and quantiles for several groupings in one pass: ``grouping, level`` and the figures."""
+    """Counts and exact quantiles for several groupings: ``grouping, level`` and the figures."""
     sides = F.array(*(F.struct(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("level")) for g in groupings))
-    long = sales.select("sale_price", "building_sqft", F.inline(sides)).where("level is not null")
     ppsf = F.when((F.col("sale_price") > 0) & (F.col("building_sqft") > 0), F.col("sale_price") / F.col("building_sqft"))
-    return long.groupBy("grouping", "level").agg(F.count("*").alias("n"), F.avg("sale_price").alias("mean_price"), median("sale_price").alias("median_price"), quantile("sale_price", 0.25).alias("p25_price"), quantile("sale_price", 0.75).alias("p75_price"), median(ppsf).alias("median_ppsf"))
+    long = settled(sales.select("sale_price", ppsf.alias("ppsf"), F.inline(sides)).where("level is not null"))
+    means = long.groupBy("grouping", "level").agg(F.count("*").alias("n"), F.avg("sale_price").alias("mean_price"))
+    spread = many_quantiles(long, ["grouping", "level"], {"sale_price": F.col("sale_price"), "ppsf": F.col("ppsf")}, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    named = {"sale_price_p50": "median_price", "sale_price_p25": "p25_price", "sale_price_p75": "p75_price", "ppsf_p50": "median_ppsf"}
+    return means.join(spread.select("grouping", "level", *(F.col(c).alias(n) for c, n in named.items())), ["grouping", "level"], "left")
 
 
 def market_profiles(sales: DataFrame, geo: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plotline.operators.indices import median
+from plotline.operators.order_stats import first_reaching, quantiles
 
 
 def metrics(df: DataFrame, actual: str, predicted: str, *by: str) -> DataFrame:
@@ -41,9 +42,10 @@ def conformal_rank(n: Column, coverage: float) -> Column:
 
 def conformal_radius(scores: DataFrame, group: str, score: str, *levels: float) -> DataFrame:
     """``group, level, radius``: an order statistic of the calibration scores, not an interpolation."""
-    ranked = scores.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(score))).withColumn("_n", F.count("*").over(Window.partitionBy(group)))
-    wanted = F.array(*(F.struct(F.lit(c).alias("level"), conformal_rank(F.col("_n"), c).alias("rank")) for c in levels))
-    return ranked.select(group, score, "_r", F.inline(wanted)).where("_r = rank").select(group, "level", F.col(score).alias("radius"))
+    named = {f"level_{k}": c for k, c in enumerate(levels)}
+    found = first_reaching(scores, [group], score, lambda n: [(name, conformal_rank(n, c).cast("long")) for name, c in named.items()])
+    level = F.element_at(F.array(*map(F.lit, levels)), F.regexp_extract("name", "[0-9]+", 0).cast("int") + 1)
+    return found.select(group, level.alias("level"), F.col("statistic").alias("radius"))
 
 
 def coverage(df: DataFrame, actual: str, low: str, high: str, *dimensions: str) -> DataFrame:
@@ -54,10 +56,10 @@ def coverage(df: DataFrame, actual: str, low: str, high: str, *dimensions: str)
 
 
 def weighted_quantile(df: DataFrame, group: str, value: str, weight: str, q: float) -> DataFrame:
-    """The first value at which the running share of weight reaches ``q``."""
-    along = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    share = F.sum(weight).over(along) / F.sum(weight).over(Window.partitionBy(group))
-    return df.where((F.col(weight) > 0) & F.col(value).isNotNull()).withColumn("_s", share).groupBy(group).agg(F.min(F.when(F.col("_s") >= q - 1e-12, F.col(value))).alias("weighted_quantile"))
+    """The first value at which the running share of weight reaches ``q``; rows without weight or value count for nothing."""
+    rows = df.where((F.col(weight) > 0) & F.col(value).isNotNull())
+    found = first_reaching(rows, [group], value, lambda total: [("q", (q - 1e-12) * total)], F.col(weight).cast("double"))
+    return found.select(group, F.col("statistic").alias("weighted_quantile"))
 
 
 def temporal_split(df: DataFrame, year: str, test_years: int) -> DataFrame:
@@ -67,20 +69,24 @@ def temporal_split(df: DataFrame, year: str, test_years: int) -> DataFrame:
 
 
 def chronological_split(df: DataFrame, year: str, validation_start: int | None = None, test_start: int | None = None) -> DataFrame:
-    """``split``: train before the validation year, test from the test year on; the last two years if none are given.
+    """``split``: three spans of time, the second and third from the given years on, by default the last two years there are.
 
-    Every row is kept; one without a year is in no split (null). Only the distinct years come to the driver.
+    Every row is kept; one without a year is in no split (null). Years are ranked from the latest, and the split is
+    read off a table of a row for each year, whose three labels must all be there.
     """
-    years = sorted(r[0] for r in df.select(F.col(year).cast("int")).distinct().collect() if r[0] is not None)
-    if len(years) < 3:
-        raise ValueError("a chronological split needs at least three years")
-    first, last = validation_start or years[-2], test_start or years[-1]
-    if first >= last:
-        raise ValueError("validation_start must precede test_start")
-    if not (years[0] < first and any(first <= y < last for y in years) and last <= years[-1]):
-        raise ValueError("cutoffs must leave nonempty train, validation and test sets")
-    y = F.col(year)
-    return df.withColumn("split", F.when(y < first, "train").when(y < last, "validation").when(y >= last, "test"))
+    y = F.col(year).cast("int")
+    latest = Window.orderBy(F.desc("_year"))  # of a row for each year
+    ranked = df.select(y.alias("_year")).where("_year is not null").distinct().withColumn("_rank", F.row_number().over(latest))
+
+    def begins(given: int | None, rank: int) -> Column:
+        return F.col("_rank") <= rank if given is None else F.col("_year") >= given
+
+    label = F.when(begins(test_start, 1), "test").when(begins(validation_start, 2), "validation").otherwise("train")
+    spans = ranked.select("_year", label.alias("split"))
+    there = {r.split: r["count"] for r in spans.groupBy("split").count().collect()}
+    if empty := [s for s in ("train", "validation", "test") if s not in there]:
+        raise ValueError(f"no years in: {', '.join(empty)}")
+    return df.join(F.broadcast(spans), y == F.col("_year"), "left").drop("_year")
 
 
 def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
@@ -107,17 +113,27 @@ def worst_groups(metrics: DataFrame, model: str, measure: str, size: str, least:
 
 def quantile_groups(df: DataFrame, value: str, groups: int) -> DataFrame:
     """Right-closed groups at linearly interpolated quantiles; equal edges fall together."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*(F.lit(k / groups) for k in range(1, groups))))).alias("_edges"))
-    return df.join(F.broadcast(edges)).withColumn("quantile_group", F.size(F.filter("_edges", lambda e: e < F.col(value))) + 1).drop("_edges")
+    names = {f"_q{k}": k / groups for k in range(1, groups)}
+    edges = quantiles(df, [], value, names).select(F.array_distinct(F.array(*names)).alias("_edges"))
+    return df.join(F.broadcast(edges), how="left").withColumn("quantile_group", F.size(F.filter("_edges", lambda e: e < F.col(value))) + 1).drop("_edges")
+
+
+def log_fence(df: DataFrame, value: str | Column, factor: float) -> DataFrame:
+    """One row, ``low_fence, high_fence``: the quartiles of the positive values' logarithms, ``factor`` spreads outward.
+
+    Null fences where no value is positive.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    box = quantiles(df, [], F.when(v > 0, F.ln(v)), {"q1": 0.25, "q3": 0.75})
+    spread = factor * (F.col("q3") - F.col("q1"))
+    return box.agg(F.max(F.col("q1") - spread).alias("low_fence"), F.max(F.col("q3") + spread).alias("high_fence"))
 
 
 def iqr_outliers(df: DataFrame, value: str, factor: float = 1.5, low: float = 200, high: float = 20_000) -> DataFrame:
     """``is_outlier``: outside the fence on the logarithm, or outside hard bounds."""
     log = F.when(F.col(value) > 0, F.ln(value))
-    box = df.agg(F.percentile(log, F.lit(0.25)).alias("_q1"), F.percentile(log, F.lit(0.75)).alias("_q3"))
-    spread = (F.col("_q3") - F.col("_q1")) * factor
-    bad = (log < F.col("_q1") - spread) | (log > F.col("_q3") + spread) | (F.col(value) < low) | (F.col(value) > high)
-    return df.join(F.broadcast(box)).withColumn("is_outlier", F.coalesce(bad, F.lit(False))).drop("_q1", "_q3")
+    bad = (log < F.col("low_fence")) | (log > F.col("high_fence")) | (F.col(value) < low) | (F.col(value) > high)
+    return df.join(F.broadcast(log_fence(df, value, factor))).withColumn("is_outlier", F.coalesce(bad, F.lit(False))).drop("low_fence", "high_fence")
 
 
 def missingness(df: DataFrame, *columns: str) -> DataFrame:
@@ -127,10 +143,11 @@ def missingness(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, *columns: str) -> DataFrame:
-    """Count, mean, deviation and quantiles of each column, in one pass over the unpivoted values."""
+    """Count, mean, deviation and quantiles of each column, from the unpivoted values; null figures for a column without any."""
     long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], list(columns), "column", "value")
     at = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
-    return long.groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"), *(F.percentile("value", F.lit(q)).alias(n) for n, q in at.items()))
+    moments = long.groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return moments.join(quantiles(long, ["column"], "value", at).drop("n"), "column", "left")
 
 
 def gram(df: DataFrame, target: str, *features: str) -> DataFrame:
