@@ -67,7 +67,7 @@ def _stream(batches: Iterator[pa.RecordBatch], keys: list[str], text: str | None
         for i in np.flatnonzero(~same & ((groups == 0) | (groups == groups[-1]))).tolist():
             found = (int(runs[i]), tuple(key[:, i].tolist()), _binary(column[i]) if text else None, int(values[i]) if valid[i] else None)
             (heads if groups[i] == 0 else tails).append(found)
-        open_run = pa.array(runs, pa.int64(), mask=groups != 0)
+        open_run = pa.array(runs, pa.int64(), mask=(groups != 0) | earlier | ~valid)
         none = [pa.nulls(n, pa.int64())] * len(keys) + [pa.nulls(n, pa.binary())]
         columns = [*(batch.column(c) for c in carried), ids, pa.array(earlier), open_run, pa.array(np.full(n, at)), *none]
         yield pa.RecordBatch.from_arrays(columns, _names(keys, carried))
