@@ -1,6 +1,6 @@
 """Radius, nearest and neighbour joins by grid cells, and statistics over the edge lists they give.
 
-A cell is as wide as the radius, so the partners of a point lie in its own cell and the eight around it.
+For a radius, a cell is as wide as the radius, so the partners of a point lie in its own cell and the eight around it.
 One side is copied to the nine cells, the join is on the cell, and distances are tested inside it.
 """
 
@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plotline.operators import polygons
+from plotline.operators.pyramid import candidates
+from plotline.operators.tables import settled
+
 FEET_PER_MILE = 5280.0
-MAX_BROADCAST_ROWS = 50_000
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -43,30 +46,26 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, condition: Col
 def nearest(points: DataFrame, places: DataFrame, key: str, place: str, radii: dict[str, float]) -> DataFrame:
     """``key``, the nearest place (ties by name), its distance, and counts of places within each radius.
 
-    One radius join, as wide as the widest radius and as a cell of some places in the mean, finds both for
-    nearly all points. Points without a place so near look for it in cells eight times as wide, and those still
-    without in cells that span everything; so any number of places will do, and nothing is broadcast by size.
+    One radius join, as wide as the widest radius and as a cell of some places in the mean, finds both for nearly
+    all points. Points without a place so near descend a pyramid of the places' cells. Any number of places will do.
     """
     box = places.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    of_points = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     wide = max(radii.values(), default=0.0)
-    span = 0.0
-    if box[0] and of_points[0] is not None:
-        wide = max(wide, 2 * ((box[2] - box[1]) * (box[4] - box[3]) / box[0]) ** 0.5)
-        span = max(box[2], of_points[1]) - min(box[1], of_points[0]) + max(box[4], of_points[3]) - min(box[3], of_points[2])
-    own, at = points.select(key, "x", "y"), places.select(F.col(place).alias("place"), "x", "y")
-    counts = [F.count_if(F.col("distance") <= r).alias(n) for n, r in radii.items()]
+    if box[0] and box[1] is not None:
+        wide = max(wide, ((box[2] - box[1]) * (box[4] - box[3]) / box[0]) ** 0.5)
+    own, at = settled(points.select(key, "x", "y")), places.select(F.col(place).alias("place"), "x", "y")
+    counts = [F.count_if(F.col("distance") <= r).cast("long").alias(n) for n, r in radii.items()]
     best = F.min(F.struct("distance", F.col("r_place").alias("place"))).alias("best")
-
-    def found(some: DataFrame, radius: float) -> DataFrame:
-        return radius_join(some, at, radius).groupBy(F.col(f"l_{key}").alias(key)).agg(best, *counts)
-
-    out = found(own, max(wide, 1e-9))
-    for radius in (8 * wide, span):
-        if radius > wide:
-            out = out.unionByName(found(own.join(out.select(key), key, "left_anti"), radius))
-    zero = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in radii]
-    return points.select(key).join(out, key, "left").select(key, F.col("best.place").alias(f"nearest_{place}"), F.col("best.distance").alias("nearest_distance"), *zero)
+    near = settled(radius_join(own, at, max(wide, 1e-9)).groupBy(F.col(f"l_{key}").alias(key)).agg(best, *counts))
+    columns = [key, F.col("best.place").alias(f"nearest_{place}"), F.col("best.distance").alias("nearest_distance"), *radii]
+    left = settled(own.join(near, key, "left_anti"))
+    if left.isEmpty():
+        return near.select(*columns)
+    box = {"min_x": F.col("x"), "max_x": F.col("x"), "min_y": F.col("y"), "max_y": F.col("y")}
+    found = candidates(left, at.withColumns(box)).withColumn("distance", distance(F.col("place_x"), F.col("place_y"), F.col("x"), F.col("y")))
+    found = found.groupBy("place_x", "place_y").agg(F.min(F.struct("distance", "place")).alias("best"))
+    far = left.join(found, (F.col("x") == F.col("place_x")) & (F.col("y") == F.col("place_y")), "left").withColumns({n: F.lit(0).cast("long") for n in radii})
+    return near.select(*columns).unionByName(far.select(*columns))
 
 
 #: The state plane of eastern Illinois in US survey feet: ellipsoid, origin, scale, false easting (fixed values).
@@ -117,28 +116,23 @@ def comparables(sales: DataFrame, radius: float, max_days: int, keep: int, dista
     return links.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).withColumn("normalized_weight", F.col("weight") / F.sum("weight").over(whole))
 
 
-def knn(points: DataFrame, key: str, k: int, radius: float) -> DataFrame:
-    """Edges ``i, j, distance`` to the ``k`` nearest others, ties by id.
+def knn(points: DataFrame, key: str, k: int) -> DataFrame:
+    """Edges ``i, j, distance, rank`` to the ``k`` nearest others, ties by id; all others where there are fewer.
 
-    Searched within ``radius``; points that find fewer than ``k`` there are searched again at twice the
-    radius, until all have k or the radius spans all points.
+    Distinct places descend a pyramid of the points' cells. A place stands for its ``k + 1`` least ids, which are all
+    that can be among anyone's ``k`` nearest; so any number of points at one place costs one descent.
     """
-    n, low_x, high_x, low_y, high_y = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    span = max((high_x or 0) - (low_x or 0), (high_y or 0) - (low_y or 0)) * 1.5 + 1
-    others, want, out = points.select(key, "x", "y"), points.select(key, "x", "y"), None
-    while True:
-        pairs = radius_join(want, others, radius, F.col(f"l_{key}") != F.col(f"r_{key}"))
-        rank = Window.partitionBy(f"l_{key}").orderBy("distance", f"r_{key}")
-        edges = pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(F.col(f"l_{key}").alias("i"), F.col(f"r_{key}").alias("j"), "distance", "rank")
-        done = edges.groupBy("i").agg(F.count("*").alias("n")).where((F.col("n") >= k) | F.lit(radius > span))
-        found = edges.join(done.select("i"), "i", "left_semi")
-        out = found if out is None else out.unionByName(found)
-        if radius > span:
-            return out
-        want = want.join(done.select(F.col("i").alias(key)), key, "left_anti")
-        if want.isEmpty():
-            return out
-        radius *= 2
+    own = settled(points.where("x is not null and y is not null").select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    least = F.row_number().over(Window.partitionBy("x", "y").orderBy(key))
+    kept = own.withColumn("_r", least).where(F.col("_r") <= k + 1).select(F.col(key).alias("j"), "x", "y")
+    box = {"min_x": F.col("x"), "max_x": F.col("x"), "min_y": F.col("y"), "max_y": F.col("y")}
+    far = distance(F.col("place_x"), F.col("place_y"), F.col("x"), F.col("y"))
+    near = candidates(own, kept.withColumns(box), k + 1).withColumn("distance", far)
+    of_place = Window.partitionBy("place_x", "place_y").orderBy("distance", "j")
+    near = near.withColumn("_r", F.row_number().over(of_place)).where(F.col("_r") <= k + 1)
+    near = near.groupBy("place_x", "place_y").agg(F.array_sort(F.collect_list(F.struct("distance", "j"))).alias("near"))  # k + 1 at most
+    edges = own.join(near, (F.col("x") == F.col("place_x")) & (F.col("y") == F.col("place_y"))).select(F.col(key).alias("i"), F.posexplode(F.slice(F.filter("near", lambda e: e["j"] != F.col(key)), 1, k)).alias("at", "e"))
+    return edges.select("i", F.col("e.j").alias("j"), F.col("e.distance").alias("distance"), (F.col("at") + 1).alias("rank"))
 
 
 def spatial_lag(values: DataFrame, edges: DataFrame, key: str, value: str) -> DataFrame:
@@ -158,16 +152,9 @@ def moran(values: DataFrame, edges: DataFrame, key: str, value: str) -> DataFram
 def polygon_distance(points: DataFrame, rings: DataFrame, key: str, name: str) -> DataFrame:
     """``key``, the nearest polygon (ties by name) and its distance, 0 inside.
 
-    ``rings`` has a row for each polygon: ``name`` and ``ring``, a closed array of ``x, y``. Inside is an
-    odd number of crossings of a ray to the right. Polygons are few, and their number is checked.
+    ``rings`` has a row for each polygon: ``name`` and ``ring``, an array of ``x, y``; or ``part``, an array of rings
+    of which all but the first are holes. Rows of one name are parts of one shape.
     """
-    n = rings.count()
-    if n > MAX_BROADCAST_ROWS:
-        raise ValueError(f"{n} polygons are too many to broadcast")
-    edges = F.expr("transform(sequence(1, size(ring) - 1), i -> named_struct('ax', ring[i - 1].x, 'ay', ring[i - 1].y, 'bx', ring[i].x, 'by', ring[i].y))")
-    packed = rings.select(F.struct(F.col(name).alias("name"), edges.alias("edges")).alias("p")).agg(F.array_sort(F.collect_list("p")).alias("_polygons"))
-    along = "greatest(0D, least(1D, coalesce(try_divide((x - e.ax) * (e.bx - e.ax) + (y - e.ay) * (e.by - e.ay), (e.bx - e.ax) * (e.bx - e.ax) + (e.by - e.ay) * (e.by - e.ay)), 0D)))"
-    gap = f"sqrt(pow(x - e.ax - {along} * (e.bx - e.ax), 2) + pow(y - e.ay - {along} * (e.by - e.ay), 2))"
-    crossed = "(e.ay > y) <> (e.by > y) and x < (e.bx - e.ax) * (y - e.ay) / nullif(e.by - e.ay, 0D) + e.ax"
-    far = f"array_min(transform(_polygons, p -> named_struct('d', if(size(filter(p.edges, e -> {crossed})) % 2 = 1, 0D, array_min(transform(p.edges, e -> {gap}))), 'name', p.name)))"
-    return points.join(F.broadcast(packed)).select(key, F.expr(far).alias("_near")).select(key, F.col("_near.name").alias(f"nearest_{name}"), F.col("_near.d").alias("polygon_distance"))
+    layer = rings if "part" in rings.columns else rings.withColumn("part", F.array("ring"))
+    found = polygons.nearest_name(points, polygons.parts(layer, name), key)
+    return found.select(key, F.col("name").alias(f"nearest_{name}"), F.col("distance").alias("polygon_distance"))

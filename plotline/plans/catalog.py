@@ -247,7 +247,7 @@ _KNN = """WITH p AS (SELECT c_custkey AS id, CAST((c_custkey * 7919) % 52800 AS
 
 def _edges(spark, d):
     p = proxies.points(spark, d)
-    return p, spatial.knn(p.select("id", "x", "y"), "id", 8, 4000.0)
+    return p, spatial.knn(p.select("id", "x", "y"), "id", 8)
 
 
 @query(f"{_KNN} SELECT i, j, CAST(rank AS BIGINT) AS rank, round(distance, 4) AS distance FROM e")

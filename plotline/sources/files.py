@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotline.operators import audit
 from plotline.operators.cleaning import normalize_pin
 
 #: Columns read of each table of a transit feed (fixed values).
@@ -70,15 +71,40 @@ def rail_stations(stops: DataFrame, routes: DataFrame, trips: DataFrame, stop_ti
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """``properties map<string,string>, ring array<struct<x,y>>``: the outer ring of each polygon."""
+    """``id, properties map<string,string>, part, ring`` of each part of each feature of one feature collection.
+
+    ``part`` is an array of rings, arrays of ``x, y``, the first outside and the others holes; ``ring`` is the first of
+    them. Features without polygons have no rows. ``id`` numbers the features.
+    """
     schema = "type string, features array<struct<properties: map<string,string>, geometry: struct<type: string, coordinates: string>>>"
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("g"))
-    feature = text.select(F.explode("g.features").alias("f"))
+    kinds = {r.kind for r in text.select(F.col("g.type").alias("kind")).collect()}  # a row for each file
+    if kinds != {"FeatureCollection"}:
+        raise ValueError(f"{path} is not a feature collection")
+    feature = text.select(F.posexplode("g.features").alias("id", "f")).repartition(spark.sparkContext.defaultParallelism)
     kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
-    single = F.from_json(raw, "array<array<array<double>>>")
-    many = F.transform(F.from_json(raw, "array<array<array<array<double>>>>"), lambda p: F.get(p, F.lit(0)))
-    rings = F.when(kind == "Polygon", F.slice(single, 1, 1)).when(kind == "MultiPolygon", many)
-    return feature.select(F.col("f.properties").alias("properties"), F.explode(rings).alias("r")).select("properties", F.transform("r", lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y"))).alias("ring"))
+    single, many = F.from_json(raw, "array<array<array<double>>>"), F.from_json(raw, "array<array<array<array<double>>>>")
+    parts = F.when(kind == "Polygon", F.array(single)).when(kind == "MultiPolygon", many)
+    corner = lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y"))
+    part = F.transform("p", lambda r: F.transform(r, corner))
+    return feature.select("id", F.col("f.properties").alias("properties"), F.explode(parts).alias("p")).select("id", "properties", part.alias("part"), F.get(part, F.lit(0)).alias("ring"))
+
+
+def write_audit(flags: DataFrame, path: str) -> dict[str, str]:
+    """The tables of an audit (:mod:`plotline.operators.audit`) below ``path``: flagged sales, findings, joins, profiles.
+
+    The names of the tables and their paths come back; each is written anew.
+    """
+    own = [c for c in flags.columns if not c.startswith("dq_")]
+    written = f"{path}/flagged_sales"
+    flags.write.mode("overwrite").parquet(written)
+    flags = flags.sparkSession.read.parquet(written)
+    tables = {"findings": audit.findings(flags), "join_success": audit.join_success(flags), "feature_profiles": audit.feature_profiles(flags.select(*own))}
+    if "year" in own:
+        tables["coverage_by_year"] = audit.coverage_by_year(flags.select(*own))
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    return {"flagged_sales": written} | {name: f"{path}/{name}" for name in tables}
 
 
 def write_by_year(df: DataFrame, path: str, year: str = "sale_year") -> DataFrame:

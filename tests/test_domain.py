@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotline.operators import asof, cleaning, hedonic, indices, spatial, validation
-from plotline.plans import appraisal, auditing, catalog, comparing, valuation  # noqa: F401
+from plotline.plans import appraisal, auditing, catalog, comparing, places, valuation  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -128,7 +128,7 @@ def test_prior_appreciation_sees_the_past_alone(spark):
 
 def test_knn_and_lag(spark):
     p = spark.createDataFrame([(10, 0.0, 0.0, 8.0), (20, 0.0, 2.0, 6.0), (30, 9.0, 2.0, 4.0), (40, 9.5, 2.0, 1.0)], "id long, x double, y double, v double")
-    edges = spatial.knn(p.select("id", "x", "y"), "id", 1, 1.0)
+    edges = spatial.knn(p.select("id", "x", "y"), "id", 1)
     assert sorted((r.i, r.j) for r in edges.collect()) == [(10, 20), (20, 10), (30, 40), (40, 30)]
     assert {r.id: r.lag for r in spatial.spatial_lag(p, edges, "id", "v").collect()} == {10: 6.0, 20: 8.0, 30: 1.0, 40: 4.0}
 

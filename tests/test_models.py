@@ -46,7 +46,7 @@ def test_segments_and_agreement(spark):
 def test_spatial_lag_model_finds_its_parameters(spark, houses):
     import numpy as np
 
-    edges = spatial.knn(houses.select("id", "x", "y"), "id", 4, 15.0)
+    edges = spatial.knn(houses.select("id", "x", "y"), "id", 4)
     w = np.zeros((400, 400))
     for r in edges.collect():
         w[r.i, r.j] = 0.25
