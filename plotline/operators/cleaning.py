@@ -99,11 +99,29 @@ def reasons(**rules: Column) -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(p, F.lit(False)), F.lit(n)) for n, p in rules.items())))
 
 
+#: Columns of the register's own filters that a classification needs (fixed values).
+QUALITY_FILTERS = ("sale_filter_same_sale_within_365", "sale_filter_less_than_10k", "sale_filter_deed_type")
+
+#: Right-closed bands of building age and size (fixed values); sizes of zero or less are in none.
+AGE_BANDS = ((9, 24, 49, 74, 99), ("0-9", "10-24", "25-49", "50-74", "75-99", "100+"))
+SIZE_BANDS = ((999, 1499, 1999, 2999), ("<1,000", "1,000-1,499", "1,500-1,999", "2,000-2,999", "3,000+"))
+
+
+def age_band(age: str | Column) -> Column:
+    return banded(number(age), *AGE_BANDS)
+
+
+def size_band(sqft: str | Column) -> Column:
+    v = number(sqft)
+    return F.when(v > 0, banded(v, *SIZE_BANDS))
+
+
 @dataclass(frozen=True)
 class PopulationRules:
     single_family: tuple[str, ...] = SINGLE_FAMILY
     multi_family: tuple[str, ...] = ()
     min_price: float = 10_000.0
+    filters: tuple[str, ...] = QUALITY_FILTERS
 
 
 def property_class(c: str | Column) -> Column:
@@ -112,13 +130,16 @@ def property_class(c: str | Column) -> Column:
 
 
 def classify_sales(sales: DataFrame, rules: PopulationRules = PopulationRules()) -> DataFrame:
-    """``sales`` with ``population_status`` (excluded before ambiguous before market) and reason lists; no row goes."""
-    require(sales, "pin", "class", "sale_date", "sale_price")
-    flags = [c for c in sales.columns if c.startswith("sale_filter_")]
+    """``sales`` with ``population_status`` (excluded before ambiguous before market) and reason lists; no row goes.
+
+    The filter columns of ``rules`` have to be there: a table without them would pass for clean.
+    """
+    require(sales, "pin", "class", "sale_date", "sale_price", *rules.filters)
+    flags = rules.filters
     pin, price = normalize_pin("pin"), number("sale_price")
     excluded = reasons(
         invalid_pin=pin.isNull(),
-        missing_or_invalid_sale_date=F.col("sale_date").isNull(),
+        missing_or_invalid_sale_date=F.col("sale_date").try_cast("timestamp_ntz").isNull(),
         missing_or_invalid_sale_price=price.isNull(),
         price_below_minimum=price < rules.min_price,
         non_target_property_class=~F.coalesce(property_class("class").isin(*rules.single_family, *rules.multi_family), F.lit(False)),
@@ -169,6 +190,7 @@ def acs_features(df: DataFrame) -> DataFrame:
     graduate = of("masters_degree") + of("professional_degree") + of("doctorate_degree")
     population, housing, area = of("population", "tract_population"), of("housing_units"), of("tract_land_sq_miles")
     occupied, commuters, adults = of("occupied_units"), of("commuters_total"), of("population_25_plus")
+    # names of census columns and of results: fixed values
     out = {
         "median_household_income": of("median_household_income"),
         "poverty_rate": rate(of("poverty_population"), of("poverty_universe")),

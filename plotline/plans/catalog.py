@@ -103,25 +103,27 @@ def acs_rates(spark, d):
     return _rounded(t.select(F.col("s_nationkey").alias("nation"), cleaning.rate("solvent", "suppliers").alias("solvent_rate"), cleaning.rate("rich", "solvent").alias("rich_rate")), 6)
 
 
-_AGE = ((10, 25, 50, 75, 100), ("0-10", "11-25", "26-50", "51-75", "76-100", "100+"))
-
-
-@query("""SELECT p_partkey, CASE WHEN p_size <= 10 THEN '0-10' WHEN p_size <= 25 THEN '11-25' WHEN p_size <= 50 THEN '26-50' WHEN p_size <= 75 THEN '51-75' WHEN p_size <= 100 THEN '76-100' WHEN p_size IS NOT NULL THEN '100+' END AS age_band FROM part""")
+@query(f"""WITH {SIZED}, v AS (SELECT sale_id, (sale_id * 7) % 130 - 5 AS age, CASE WHEN sale_id % 17 = 0 THEN -building_sqft ELSE building_sqft / 3 END AS size FROM sized)
+SELECT sale_id, CASE WHEN age <= 9 THEN '0-9' WHEN age <= 24 THEN '10-24' WHEN age <= 49 THEN '25-49' WHEN age <= 74 THEN '50-74' WHEN age <= 99 THEN '75-99' WHEN age IS NOT NULL THEN '100+' END AS age_band,
+ CASE WHEN size > 2999 THEN '3,000+' WHEN size > 1999 THEN '2,000-2,999' WHEN size > 1499 THEN '1,500-1,999' WHEN size > 999 THEN '1,000-1,499' WHEN size > 0 THEN '<1,000' END AS size_band FROM v""")
 def age_size_bands(spark, d):
-    return read(spark, d, "part").select("p_partkey", cleaning.banded("p_size", *_AGE).alias("age_band"))
+    v = proxies.sized(spark, d).selectExpr("sale_id", "(sale_id * 7) % 130 - 5 as age", "if(sale_id % 17 = 0, -building_sqft, building_sqft / 3) as size")
+    return v.select("sale_id", cleaning.age_band("age").alias("age_band"), cleaning.size_band("size").alias("size_band"))
 
 
 _RAW = """SELECT sale_id, pin, sale_date, CASE WHEN sale_id % 11 = 0 THEN sale_price / 1000 ELSE sale_price END AS sale_price,
  CASE sale_id % 4 WHEN 0 THEN '211' WHEN 1 THEN '299' ELSE '203' END AS class, CASE sale_id % 13 WHEN 0 THEN NULL WHEN 1 THEN 'true' ELSE 'false' END AS sale_filter_deed_type,
+ CASE sale_id % 23 WHEN 0 THEN 'true' ELSE 'false' END AS sale_filter_same_sale_within_365, CASE WHEN sale_id % 11 = 0 AND sale_price < 10000000 THEN 'true' WHEN sale_id % 29 = 0 THEN NULL ELSE 'false' END AS sale_filter_less_than_10k,
  CASE sale_id % 17 WHEN 0 THEN 'true' WHEN 1 THEN NULL ELSE 'false' END AS is_multisale FROM sales"""
 
 
 def _raw_sales(spark, d):
-    return proxies.sales(spark, d).selectExpr("sale_id", "pin", "sale_date", "if(sale_id % 11 = 0, sale_price / 1000, sale_price) as sale_price", "case sale_id % 4 when 0 then '211' when 1 then '299' else '203' end as class", "case sale_id % 13 when 0 then null when 1 then 'true' else 'false' end as sale_filter_deed_type", "case sale_id % 17 when 0 then 'true' when 1 then null else 'false' end as is_multisale")
+    return proxies.sales(spark, d).selectExpr("sale_id", "pin", "sale_date", "if(sale_id % 11 = 0, sale_price / 1000, sale_price) as sale_price", "case sale_id % 4 when 0 then '211' when 1 then '299' else '203' end as class", "case sale_id % 13 when 0 then null when 1 then 'true' else 'false' end as sale_filter_deed_type", "case sale_id % 23 when 0 then 'true' else 'false' end as sale_filter_same_sale_within_365", "case when sale_id % 11 = 0 and sale_price < 10000000 then 'true' when sale_id % 29 = 0 then null else 'false' end as sale_filter_less_than_10k", "case sale_id % 17 when 0 then 'true' when 1 then null else 'false' end as is_multisale")
 
 
 _CLASSIFIED = f"""WITH {SALES}, raw AS ({_RAW}), c AS (SELECT sale_id, concat_ws('|', CASE WHEN sale_price < 10000 THEN 'price_below_minimum' END, CASE WHEN class <> '203' THEN 'non_target_property_class' END,
- CASE WHEN sale_filter_deed_type = 'true' THEN 'sale_filter_deed_type' END) AS exclusion_reasons, concat_ws('|', CASE WHEN sale_filter_deed_type IS NULL THEN 'missing_sale_filter_metadata' END, CASE WHEN is_multisale = 'true' THEN 'multi_parcel_sale' END) AS ambiguity_reasons FROM raw),
+ CASE WHEN sale_filter_same_sale_within_365 = 'true' THEN 'sale_filter_same_sale_within_365' END, CASE WHEN sale_filter_less_than_10k = 'true' THEN 'sale_filter_less_than_10k' END, CASE WHEN sale_filter_deed_type = 'true' THEN 'sale_filter_deed_type' END) AS exclusion_reasons,
+ concat_ws('|', CASE WHEN sale_filter_deed_type IS NULL OR sale_filter_less_than_10k IS NULL THEN 'missing_sale_filter_metadata' END, CASE WHEN is_multisale = 'true' THEN 'multi_parcel_sale' END) AS ambiguity_reasons FROM raw),
  done AS (SELECT *, CASE WHEN exclusion_reasons <> '' THEN 'excluded' WHEN ambiguity_reasons <> '' THEN 'ambiguous' ELSE 'market' END AS population_status FROM c)"""
 
 

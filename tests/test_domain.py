@@ -60,15 +60,20 @@ def test_classification(spark):
         ("11", "206", None, day, "f", "T", "f"),
     ]
     sales = spark.createDataFrame(rows, made)
-    out = {r.pin: r for r in cleaning.classify_sales(sales).collect()}
+    flags = ("sale_filter_a", "sale_filter_b")
+    out = {r.pin: r for r in cleaning.classify_sales(sales, cleaning.PopulationRules(filters=flags)).collect()}
     assert len(out) == len(rows)
     assert {p: r.population_status for p, r in out.items()} == {"17-05": "market", "5": "market", "6": "excluded", "7": "excluded", "8": "excluded", "9": "ambiguous", "10": "ambiguous", "none": "excluded", "11": "excluded"}
     assert out["8"].exclusion_reasons == ["missing_or_invalid_sale_date", "price_below_minimum", "non_target_property_class", "sale_filter_a"]
     assert out["9"].ambiguity_reasons == ["missing_sale_filter_metadata", "multi_parcel_sale"] and out["10"].ambiguity_reasons == ["multi_parcel_sale"]
     assert out["none"].exclusion_reasons == ["invalid_pin"] and out["11"].exclusion_reasons == ["missing_or_invalid_sale_price", "sale_filter_b"]
     assert [p for p, r in out.items() if r.is_primary_population] == ["17-05", "5"]
-    wider = cleaning.PopulationRules(multi_family=cleaning.MULTI_FAMILY)
+    wider = cleaning.PopulationRules(multi_family=cleaning.MULTI_FAMILY, filters=flags)
     assert cleaning.classify_sales(sales, wider).where("pin = '7'").first().population_status == "market"
+    with pytest.raises(ValueError, match="sale_filter_deed_type"):
+        cleaning.classify_sales(sales)
+    dated = spark.createDataFrame([("1", "203", 5e4, d) for d in ("2001-02-03", "soon")], "pin string, class string, sale_price double, sale_date string")
+    assert [r.exclusion_reasons for r in cleaning.classify_sales(dated, cleaning.PopulationRules(filters=())).collect()] == [[], ["missing_or_invalid_sale_date"]]
 
 
 def test_pins(spark):

@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 from plotline.operators import spatial
-from plotline.operators.cleaning import classify_sales
+from plotline.operators.cleaning import QUALITY_FILTERS, classify_sales
 from plotline.sources import files
 from plotline.streaming import ingest
 
@@ -48,11 +48,11 @@ def test_polygons(spark, tmp_path):
     assert got == {1: ("P", 0.0), 2: ("P", 5.0), 3: ("M", 5.0)}
 
 
-SALES = "pin string, class string, sale_date timestamp, sale_price double, is_multisale string"
+SALES = "pin string, class string, sale_date timestamp, sale_price double, is_multisale string, " + ", ".join(f"{f} string" for f in QUALITY_FILTERS)
 
 
 def _sales(spark):
-    return spark.createDataFrame([("1", "203", dt.datetime(2023, 1, d), 2e5 if d % 2 else 5.0, "true" if d == 3 else "false") for d in range(1, 9)] + [("2", "203", None, 3e5, "false")], SALES)
+    return spark.createDataFrame([("1", "203", dt.datetime(2023, 1, d), 2e5 if d % 2 else 5.0, "true" if d == 3 else "false", "f", "f", "f") for d in range(1, 9)] + [("2", "203", None, 3e5, "false", "f", "f", "f")], SALES)
 
 
 def test_years_and_stream(spark, tmp_path):
