@@ -142,9 +142,10 @@ def group_summary(sales: DataFrame, *groupings: str) -> DataFrame:
     """Counts and exact quantiles for several groupings: ``grouping, level`` and the figures."""
     sides = F.array(*(F.struct(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("level")) for g in groupings))
     ppsf = F.when((F.col("sale_price") > 0) & (F.col("building_sqft") > 0), F.col("sale_price") / F.col("building_sqft"))
-    long = settled(sales.select("sale_price", ppsf.alias("ppsf"), F.inline(sides)).where("level is not null"))
+    narrow = settled(sales.select("sale_price", ppsf.alias("ppsf"), *groupings))
+    long = narrow.select("sale_price", "ppsf", F.inline(sides)).where("level is not null")
     means = long.groupBy("grouping", "level").agg(F.count("*").alias("n"), F.avg("sale_price").alias("mean_price"))
-    spread = many_quantiles(long, ["grouping", "level"], {"sale_price": F.col("sale_price"), "ppsf": F.col("ppsf")}, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    spread = many_quantiles(long, ["grouping", "level"], {"sale_price": F.col("sale_price"), "ppsf": F.col("ppsf")}, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, reread=True)
     named = {"sale_price_p50": "median_price", "sale_price_p25": "p25_price", "sale_price_p75": "p75_price", "ppsf_p50": "median_ppsf"}
     return means.join(spread.select("grouping", "level", *(F.col(c).alias(n) for c, n in named.items())), ["grouping", "level"], "left")
 

@@ -55,14 +55,16 @@ def _same(keys: list[str], a: str, b: str) -> Column:
     return F.expr(" and ".join(f"{a}.{k} <=> {b}.{k}" for k in keys))
 
 
-def first_reaching(df: DataFrame, by: list[str], value: str | Column, wanted: Callable[[Column], list[tuple[str, Column]]], weight: str | Column | None = None, gather: int = GATHER, parts: int = PARTS) -> DataFrame:
+def first_reaching(df: DataFrame, by: list[str], value: str | Column, wanted: Callable[[Column], list[tuple[str, Column]]], weight: str | Column | None = None, gather: int = GATHER, parts: int = PARTS, reread: bool = False) -> DataFrame:
     """``*by, name, total, statistic``: of each group, for each wanted ``(name, mass)``, the first value whose running weight reaches it.
 
     ``wanted`` makes the pairs from the column of the group's total weight (a long, the count, without weights).
+    ``reread`` says that ``df`` is cheap to read again and the same each time; else it is written first.
     """
     v = F.col(value) if isinstance(value, str) else value
     w = F.lit(1).cast("long") if weight is None else F.col(weight) if isinstance(weight, str) else weight
-    rows = settled(df.select(*by, v.cast("double").alias("value"), w.alias("weight")).where("value is not null and not isnan(value)"))
+    rows = df.select(*by, v.cast("double").alias("value"), w.alias("weight")).where("value is not null and not isnan(value)")
+    rows = rows if reread else settled(rows)
     binned = rows.withColumns({"bin": _coarse(), "all_rows": F.lit(0)})
     keys = by or ["all_rows"]
     bins = _counted(binned, keys, "bin").withColumnRenamed("whole", "total")
@@ -98,13 +100,13 @@ def _at(values: str, rest: str, counted: bool) -> Column:
     return F.expr(f"coalesce({run}, element_at({values}, -1).value)")
 
 
-def quantiles(df: DataFrame, by: list[str], value: str | Column, probs: dict[str, float], **limits: int) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: str | Column, probs: dict[str, float], **options: int) -> DataFrame:
     """``*by, n`` and a column for each of ``probs``: exact quantiles, interpolated linearly between neighbouring ranks."""
 
     def wanted(total: Column) -> list[tuple[str, Column]]:
         return [(f"{side}_{name}", to((total - 1) * F.lit(float(q))).cast("long") + 1) for name, q in probs.items() for side, to in (("lo", F.floor), ("hi", F.ceil))]
 
-    found = first_reaching(df, by, value, wanted, **limits)
+    found = first_reaching(df, by, value, wanted, **options)
     of = {f"{side}_{n}": F.max(F.when(F.col("name") == f"{side}_{n}", F.col("statistic"))) for n in probs for side in ("lo", "hi")}
     wide = found.groupBy(*by).agg(F.max("total").alias("n"), *(c.alias(n) for n, c in of.items()))
 
@@ -116,9 +118,9 @@ def quantiles(df: DataFrame, by: list[str], value: str | Column, probs: dict[str
     return wide.select(*by, "n", *(between(n, q).alias(n) for n, q in probs.items()))
 
 
-def many_quantiles(df: DataFrame, by: list[str], measures: dict[str, Column], probs: dict[str, float]) -> DataFrame:
+def many_quantiles(df: DataFrame, by: list[str], measures: dict[str, Column], probs: dict[str, float], reread: bool = False) -> DataFrame:
     """``*by`` and ``{measure}_{prob}`` for every measure and prob, all from the same passes; null where a measure has no values."""
     long = df.select(*by, F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), c.cast("double").alias("value")) for m, c in measures.items()))))
-    found = quantiles(long, [*by, "measure"], "value", probs)
+    found = quantiles(long, [*by, "measure"], "value", probs, reread=reread)
     pick = [F.max(F.when(F.col("measure") == m, F.col(p))).alias(f"{m}_{p}") for m in measures for p in probs]
     return found.groupBy(*by).agg(*pick)
