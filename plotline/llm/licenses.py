@@ -2,11 +2,12 @@
 
 Every rolling word k-gram of every text is joined to the positions at which templates have it. A hit
 at text word p and template word t lies on the diagonal p - t; a template that stands in a text puts
-many hits on one diagonal. Hits, which are few, are dealt out by text in the one shuffle and counted by diagonal; diagonals
-of a long template that lie next to each other (a word more or less in between) are merged; and a
-span counts if the grams matched, which the join compares word by word beside their hashes, cover
-enough of the template: every gram of a phrase; of a notice, four fifths of its words, each counted once
-whichever of the merged diagonals it is matched on, in a span not much longer than the notice.
+many hits on one diagonal. Hits, which are few, are dealt out by text in the one shuffle and counted by diagonal; from
+each diagonal of a long template on, those that lie within half its length (words more or less in between) are merged;
+and such a band counts if the grams matched, which the join compares word by word beside their hashes, cover enough of
+the template: every gram of a phrase; of a notice, four fifths of its words, each counted once whichever of the merged
+diagonals it is matched on. Of bands that overlap, the best one is the span, so what else stands next to a notice, its
+own phrases repeated for instance, does not hide it, and no span is more than half longer than its notice.
 
 Cases: a null or empty text has no words, places or labels and scores 0; a phrase that a line break or
 punctuation cuts still stands, since only words count; two labels may tie and are both given; repeated
@@ -25,7 +26,6 @@ from pyspark.sql.window import Window
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOTICE_GRAM = 5
 NOTICE_COVER = 0.8
-DIAGONAL_GAP = 8
 NOTICE_STRETCH = 1.5  # a notice's span, against its template
 
 
@@ -123,27 +123,42 @@ def spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataF
     def of_template(values: list) -> Column:
         return F.when(F.col("template").isNotNull(), F.element_at(F.array(*map(F.lit, values)), F.col("template") + 1))
 
-    phrase = of_template([x.phrase for x in templates])
-    along = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.when(phrase, F.lit(1)).when(F.col("diagonal") - F.lag("diagonal").over(along) <= DIAGONAL_GAP, 0).otherwise(1)
-    k = F.when(phrase, 2).otherwise(NOTICE_GRAM)
-    covered = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("places")), lambda p: F.sequence(p, p + (NOTICE_GRAM - 1)))))
-    of_grams = F.least(F.lit(1.0), F.sum("votes") / F.first("n_grams"))
-    merged = (
-        votes.withColumn("phrase", phrase)
-        .withColumn("apart", apart)
-        .withColumn("place", F.sum("apart").over(along))
-        .groupBy("row", "doc_id", "n_words", "template", "phrase", "place")
-        .agg(
-            F.when(F.first("phrase"), of_grams).otherwise(F.size(covered) / (F.first("n_grams") + (NOTICE_GRAM - 1))).alias("cover"),
-            F.min(F.col("diagonal") + F.col("lo")).alias("first"),
-            F.max(F.col("diagonal") + F.col("hi") + k).alias("last_end"),
-            (F.first("n_grams") + (NOTICE_GRAM - 1)).alias("length"),
+    lengths = [len(x.text.split()) for x in templates]
+    bands = [0 if x.phrase else int((NOTICE_STRETCH - 1) * n) for x, n in zip(templates, lengths, strict=True)]
+    phrase, band, length = of_template([x.phrase for x in templates]), of_template(bands), of_template(lengths)
+    ahead = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, max(bands))
+    near = F.filter(F.collect_list(F.struct("diagonal", "lo", "hi", "places")).over(ahead), lambda m: m["diagonal"] <= F.col("diagonal") + F.col("band"))
+    words = F.array_distinct(F.flatten(F.transform("near", lambda m: F.flatten(F.transform(m["places"], lambda p: F.sequence(p, p + (NOTICE_GRAM - 1)))))))
+    k = F.when(F.col("phrase"), 2).otherwise(NOTICE_GRAM)
+    windows = (
+        votes.withColumns({"phrase": phrase, "band": band, "length": length})
+        .withColumn("near", near)
+        .withColumns(
+            {
+                "cover": F.when(F.col("phrase"), F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))).otherwise(F.size(words) / F.col("length")),
+                "first": F.array_min(F.transform("near", lambda m: m["diagonal"] + m["lo"])),
+                "last_end": F.array_max(F.transform("near", lambda m: m["diagonal"] + m["hi"])) + k,
+            }
         )
     )
+    verified = windows.where(F.col("template").isNull() | F.when(F.col("phrase"), F.col("cover") == 1.0).otherwise(F.col("cover") >= NOTICE_COVER))
+    along = Window.partitionBy("row", "template").orderBy("diagonal")
+    apart = F.when(F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(along) > F.col("band")), 1).otherwise(0)
+    best = F.max_by(F.struct("first", "last_end", "cover"), F.struct(F.col("cover"), -F.col("diagonal"))).alias("best")
+    merged = verified.withColumn("apart", apart).withColumn("place", F.sum("apart").over(along)).groupBy("row", "doc_id", "n_words", "template", "place").agg(best)
     names, bases = of_template([x.label for x in templates]), of_template([x.base for x in templates])
-    verified = F.col("template").isNull() | F.when(F.col("phrase"), F.col("cover") == 1.0).otherwise((F.col("cover") >= NOTICE_COVER) & (F.col("last_end") - F.col("first") <= NOTICE_STRETCH * F.col("length")))
-    return merged.where(verified).select("row", "doc_id", F.col("n_words").cast("long").alias("n_words"), "template", names.alias("label"), F.coalesce(bases, F.lit(False)).alias("base"), F.col("first").cast("long").alias("first"), F.col("last_end").cast("long").alias("last_end"), F.when(F.col("template").isNotNull(), F.col("cover")).alias("cover"))
+    of = lambda c: F.when(F.col("template").isNotNull(), F.col(f"best.{c}"))
+    return merged.select(
+        "row",
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        "template",
+        names.alias("label"),
+        F.coalesce(bases, F.lit(False)).alias("base"),
+        of("first").cast("long").alias("first"),
+        of("last_end").cast("long").alias("last_end"),
+        of("cover").alias("cover"),
+    )
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -167,22 +182,21 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
 def sql(templates: tuple[Template, ...] = TEMPLATES) -> str:
     """DuckDB SQL over ``documents`` for the rows of :func:`scan`."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    lengths = [len(x.text.split()) for x in templates]
     grams = ", ".join(f"({quoted(g)}, {t}, {p}, {n}, {2 if templates[t].phrase else NOTICE_GRAM})" for g, t, p, n in _template_grams(templates))
-    named = ", ".join(f"({t}, {quoted(x.label)}, {x.phrase}, {x.base})" for t, x in enumerate(templates))
+    named = ", ".join(f"({t}, {quoted(x.label)}, {x.phrase}, {x.base}, {n}, {int((NOTICE_STRETCH - 1) * n)})" for t, (x, n) in enumerate(zip(templates, lengths, strict=True)))
     following = ", ".join(f"lead(w, {j}) OVER place AS w{j}" for j in range(1, NOTICE_GRAM))
     five = " || ' ' || ".join(["w", *(f"w{j}" for j in range(1, NOTICE_GRAM))])
-    return f"""WITH t(gram, template, t_pos, n_grams, k) AS (VALUES {grams}), names(template, label, phrase, base) AS (VALUES {named}),
+    return f"""WITH t(gram, template, t_pos, n_grams, k) AS (VALUES {grams}), names(template, label, phrase, base, length, band) AS (VALUES {named}),
  rows AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
  words AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM rows), near AS (SELECT r, pos, w, {following} FROM words WINDOW place AS (PARTITION BY r ORDER BY pos)),
  grams AS (SELECT r, pos, w || ' ' || w1 AS gram FROM near WHERE w1 IS NOT NULL UNION ALL SELECT r, pos, {five} FROM near WHERE w{NOTICE_GRAM - 1} IS NOT NULL),
- hits AS (SELECT r, template, pos, t_pos, n_grams, k, pos - t_pos AS diagonal, phrase FROM grams JOIN t USING (gram) JOIN names USING (template)),
- votes AS (SELECT r, template, diagonal, phrase, count(*) AS votes, min(pos) AS lo, max(pos) + any_value(k) AS hi, any_value(n_grams) AS n_grams FROM hits GROUP BY r, template, diagonal, phrase),
- apart AS (SELECT *, CASE WHEN NOT phrase AND diagonal - lag(diagonal) OVER along <= {DIAGONAL_GAP} THEN 0 ELSE 1 END AS apart FROM votes WINDOW along AS (PARTITION BY r, template ORDER BY diagonal)),
- merged AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS place FROM apart),
- covered AS (SELECT r, template, place, count(DISTINCT t_pos + j) AS words FROM merged JOIN hits USING (r, template, diagonal), range({NOTICE_GRAM}) AS o(j) GROUP BY r, template, place),
- spans AS (SELECT r, template, place, phrase, min(lo) AS first, max(hi) AS last_end, any_value(n_grams) AS n_grams, sum(votes) AS votes FROM merged GROUP BY r, template, place, phrase),
- found AS (SELECT r, label, base, first, CASE WHEN s.phrase THEN least(1.0, votes / n_grams) ELSE words / (n_grams + {NOTICE_GRAM - 1}) END AS cover, s.phrase, last_end - first AS length, n_grams + {NOTICE_GRAM - 1} AS whole FROM spans s JOIN covered USING (r, template, place) JOIN names USING (template)),
- kept AS (SELECT * FROM found WHERE CASE WHEN phrase THEN cover = 1 ELSE cover >= {NOTICE_COVER} AND length <= {NOTICE_STRETCH} * whole END)
+ hits AS (SELECT r, template, pos, t_pos, n_grams, pos - t_pos AS diagonal FROM grams JOIN t USING (gram)),
+ votes AS (SELECT r, template, diagonal, count(*) AS votes, min(pos) AS first, any_value(n_grams) AS n_grams FROM hits GROUP BY r, template, diagonal),
+ phrases AS (SELECT r, label, base, first, 1.0 AS cover FROM votes JOIN names USING (template) WHERE phrase AND votes >= n_grams),
+ windows AS (SELECT v.r, v.template, v.diagonal, any_value(label) AS label, min(h.pos) AS first, count(DISTINCT h.t_pos + j) / any_value(length) AS cover
+  FROM votes v JOIN names USING (template) JOIN hits h ON NOT phrase AND h.r = v.r AND h.template = v.template AND h.diagonal BETWEEN v.diagonal AND v.diagonal + band, range({NOTICE_GRAM}) AS o(j) GROUP BY v.r, v.template, v.diagonal),
+ kept AS (SELECT * FROM phrases UNION ALL SELECT r, label, false, first, cover FROM windows WHERE cover >= {NOTICE_COVER})
  SELECT doc_id, len(any_value(ws)) AS n_words, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(cover), 0.0) AS score
  FROM rows LEFT JOIN kept USING (r) GROUP BY r, doc_id"""

@@ -64,6 +64,48 @@ def test_license_notice_with_one_word_changed(spark):
     assert all(0.8 <= r.score <= 1 for r in got if r.labels)
 
 
+def test_license_notice_among_its_own_phrases(spark):
+    rows, want = [], {}
+    for t in (t for t in licenses.TEMPLATES if not t.phrase):
+        words = t.text.split()
+        again = words[-6:] * 6
+        for made in ([*words, *again], [*again, *words], [*again, *words, *again], [*words, "and", "then", *words], [*words[:9], "x", "y", *words[9:], *again]):
+            want[len(rows)] = t.label
+            rows.append((len(rows), "before it " + " ".join(made) + " after it"))
+        want[len(rows)] = ""
+        rows.append((len(rows), " ".join(again * 5)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(df).collect()} == want
+    spans = licenses.spans(df).where("template is not null and cover > 0.99").collect()
+    whole = {i: [] for i in want}
+    for r in spans:
+        if not licenses.TEMPLATES[r.template].phrase:
+            whole[r.doc_id].append((r.last_end - r.first) / len(licenses.TEMPLATES[r.template].text.split()))
+    assert all(len(whole[i]) == (2 if "and then" in rows[i][1] else 1) for i, label in want.items() if label)
+    assert all(stretch <= 1.5 for v in whole.values() for stretch in v)
+
+
+def test_license_notices_against_edit_distance(spark):
+    """Whatever the edits, a notice with few of them is found, and one with most words gone is not."""
+    rng = random.Random(12)
+    notices = [t for t in licenses.TEMPLATES if not t.phrase]
+    rows, edits = [], []
+    for i in range(150):
+        t = rng.choice(notices)
+        words, n = t.text.split(), rng.choice([0, 1, 30])
+        for _ in range(n):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = rng.choice(([], ["other"], ["two", "more"]))
+        rows.append((i, " ".join(["pre"] * rng.randrange(9) + words + ["post"] * rng.randrange(9))))
+        edits.append((t, n))
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        t, n = edits[r.doc_id]
+        if n <= 1 and len(t.text.split()) > 24:
+            assert t.label in r.labels.split(",")
+        if n == 30 and "general public license" not in rows[r.doc_id][1]:
+            assert t.label not in r.labels.split(",")
+
+
 def test_license_scan_in_sql(spark, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     notices = [t.text for t in licenses.TEMPLATES if not t.phrase]
@@ -397,6 +439,36 @@ def edit_distance_within(item: str, text: str) -> int:
     return min(row)
 
 
+def test_stored_map_is_edited(spark, tmp_path):
+    """Three versions of one map: sizes, one more shard, and a second load of data."""
+    path = f"file://{tmp_path}/map"
+    made = lambda lo, hi: spark.range(lo, hi).selectExpr("id as doc_id", "repeat('x', cast(id * 37 % 900 as int)) as text")
+    df = made(0, 20_000)
+    first, edit = sharding.place(df, 40, map_path=path)
+    assert edit.version == 1 and edit.total_bytes == first.agg(F.sum("size")).first()[0] and 0 < edit.moved_bytes < edit.total_bytes / 4
+    where = lambda rows: {r.doc_id: r.shard for r in rows.collect()}
+    at = where(first)
+    again, none = sharding.place(df, 40, map_path=path)
+    assert none == sharding.Edit(1, 0, 0, edit.total_bytes) and where(again) == at
+    grown, edit = sharding.place(df, 41, map_path=path)
+    after = where(grown)
+    assert edit.version == 2 and set(after.values()) == set(range(41))
+    sizes = {r.doc_id: r.size for r in grown.collect()}
+    assert sum(sizes[i] for i in at if at[i] != after[i]) == edit.moved_bytes < edit.total_bytes / 10
+    more, edit = sharding.place(df.unionByName(made(20_000, 25_000)), 41, map_path=path)
+    last = where(more)
+    assert edit.version == 3 and sum(sizes[i] for i in after if after[i] != last[i]) <= edit.moved_bytes < edit.total_bytes / 5
+    load = [r.b for r in more.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(load) == 41 and max(load) < 1.01 * min(load)
+    assert {r.version for r in sharding.read_maps(spark, path).select("version").distinct().collect()} == {0, 1, 2, 3}
+    for r in more.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m"), F.countDistinct("slot").alias("d")).collect():
+        assert r.n == r.d == r.m + 1
+    with pytest.raises(ValueError, match="virtual slots"):
+        sharding.place(df, 41, slots=16, map_path=path)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sharding.store_map(spark, path, 3, sharding.initial_map(41))
+
+
 def test_myers_distance():
     rng = random.Random(0)
     for _ in range(1500):
