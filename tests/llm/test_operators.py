@@ -260,26 +260,74 @@ def test_remembered_segments(spark):
     rows = []  # row, held_out, segments
     for r in range(40):
         chain = [rng.randrange(6) for _ in range(8)]
-        rows.append((r, r % 5 == 0, [(a, b, -30.0 - a) for a, b in zip(chain, chain[1:])]))
-    rows.append((99, False, []))
-    df = spark.createDataFrame(rows, "row long, held_out boolean, segments array<struct<before: long, pair: long, log_p: float>>")
+        pairs = list(zip([0, *chain], chain))
+        rows.append((r, r % 5 == 0, [(a, b, -30.0 - a, sum(x == a for x, _ in pairs), pairs.count((a, b))) for a, b in pairs]))
+    alone = [(77, 78, -30.0, 10, 10)] * 10  # ten times in one text and nowhere else
+    rows += [(99, False, []), (100, False, alone), (101, True, [(5, 5, -9.0, 1, 1)])]
+    df = spark.createDataFrame(rows, "row long, held_out boolean, segments array<struct<before: long, pair: long, log_p: float, own_before: int, own_pair: int>>")
     got = {r.row: (round(r.gain, 4), r.seen) for r in lm._remembered(df).collect()}
     c, total = Counter(), Counter()
     for _, held, s in rows:
-        for a, b, _ in s:
+        for a, b, *_ in s:
             c[a, b] += not held
             total[a] += not held
     want = {}
     for r, held, s in rows:
-        own, gain, seen = int(not held), 0.0, 0
-        for a, b, x in s:
-            if c[a, b] > own:
-                m = (c[a, b] - own) / (total[a] - own)
-                gain += np.log10((1 - lm.MEMORY_SHARE) * 10.0**x + lm.MEMORY_SHARE * m) - np.log10((1 - lm.MEMORY_SHARE) * 10.0**x)
+        gain, seen = 0.0, 0
+        for a, b, x, *_ in s:
+            others, all_others = (c[a, b], total[a]) if held else (c[a, b] - sum(y[:2] == (a, b) for y in s), total[a] - sum(y[0] == a for y in s))
+            if others > 0:
+                gain += np.log10((1 - lm.MEMORY_SHARE) * 10.0**x + lm.MEMORY_SHARE * others / all_others) - np.log10((1 - lm.MEMORY_SHARE) * 10.0**x)
                 seen += 1
         if seen:
             want[r] = (round(gain, 4), seen)
-    assert got == want
+    assert got == want and 100 not in got
+
+
+def test_repeats_within_texts():
+    text, key = np.array([0, 0, 0, 1, 1, 2]), np.array([5, 6, 5, 5, 5, 6], np.uint64)
+    assert lm.repeats(text, key).tolist() == [2, 1, 2, 2, 2, 1] and lm.repeats(text[:0], key[:0]).tolist() == []
+
+
+def test_lm_score_end_to_end(spark):
+    """``score`` put together anew from the attention score of each segment: repeats inside a text teach it nothing."""
+    rng = random.Random(21)
+    vocabulary = [f"wo{i}rd" for i in range(400)]
+    passage = [rng.choice(vocabulary) for _ in range(300)]
+    own = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    looped = own(120)
+    rows = [(i, " ".join(own(150) + passage[:: 1 if i % 2 else -1][:200] + own(40))) for i in range(30)] + [(60, " ".join(looped * 8)), (61, " ".join(own(400))), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(df, RANKS, public_tokenizers.PATTERN).collect()}
+    scored = {}
+
+    def keep(frame):
+        scored["rows"] = frame.select("doc_id", "held_out", F.col("segments")).collect()
+        return original(frame)
+
+    original = lm._remembered
+    lm._remembered = keep
+    try:
+        lm.score(df, RANKS, public_tokenizers.PATTERN).count()
+    finally:
+        lm._remembered = original
+    c, total = Counter(), Counter()
+    for r in scored["rows"]:
+        for x in r.segments:
+            c[x.before, x.pair] += not r.held_out
+            total[x.before] += not r.held_out
+    for r in scored["rows"]:
+        mine, begun = Counter((x.before, x.pair) for x in r.segments), Counter(x.before for x in r.segments)
+        want, seen = 0.0, 0
+        for x in r.segments:
+            others = c[x.before, x.pair] - (0 if r.held_out else mine[x.before, x.pair])
+            every = total[x.before] - (0 if r.held_out else begun[x.before])
+            logs = [np.log10(1 - lm.MEMORY_SHARE) + x.log_p] + ([np.log10(lm.MEMORY_SHARE * others / every)] if others else [])
+            want += max(logs) + np.log10(sum(10 ** (v - max(logs)) for v in logs))
+            seen += others > 0
+        assert got[r.doc_id].score == pytest.approx(want, rel=1e-4) and got[r.doc_id].n_segments_seen == seen
+    assert got[60].n_segments_seen == got[61].n_segments_seen == 0 and got[60].score < got[60].attention_score
+    assert sum(got[i].n_segments_seen > 0 for i in range(30)) > 25
 
 
 def test_segments_depend_on_their_words_alone():
