@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.operators.cleaning import require
+from plotline.operators.cleaning import require, require_unique
 
 
-def align_snapshots(sales: DataFrame, snapshots: DataFrame, key: str, snapshot_year: str = "year", max_lag: int = 3, prefix: str = "snapshot", allow_future: bool = False) -> DataFrame:
+def align_snapshots(sales: DataFrame, snapshots: DataFrame, key: str, snapshot_year: str = "year", max_lag: int = 3, prefix: str = "snapshot", allow_future: bool = False, unique: str | None = None) -> DataFrame:
     """``sales`` with ``{prefix}_match_year``, ``_lag_years`` and ``_alignment_status``.
 
     The latest vintage not after the sale is taken if it is at most ``max_lag`` years old. The distinct
     years of a key are gathered into one short sorted array, so the sales side is joined once, on the
-    key alone, and neither side grows by the join.
+    key alone, and neither side grows by the join. With ``unique``, an id column, sales that share one are an error.
     """
     require(sales, key, "sale_year")
+    if unique:
+        require_unique(sales, unique)
     vintages = snapshots.where(F.col(snapshot_year).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(F.col(snapshot_year).cast("int"))).alias("_years"))
     joined = sales.join(vintages, key, "left").withColumn("_year", F.col("sale_year").cast("int"))
     past = F.array_max(F.filter("_years", lambda y: y <= F.col("_year")))

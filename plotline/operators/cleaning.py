@@ -212,20 +212,72 @@ def acs_features(df: DataFrame) -> DataFrame:
     return df.select(*keys, *(c.alias(n) for n, c in out.items()))
 
 
+#: Card columns that are summed, and those whose first known text counts, with the names they get (fixed values).
+CARD_SUMS = {"building_sqft": "char_bldg_sf", "bedrooms": "char_beds", "rooms": "char_rooms", "full_baths": "char_fbath", "half_baths": "char_hbath"}
+CARD_TEXTS = {
+    "residence_type": "char_type_resd",
+    "construction_quality": "char_cnst_qlty",
+    "exterior_wall": "char_ext_wall",
+    "heating_type": "char_heat",
+    "air_conditioning": "char_air",
+    "renovation": "char_renovation",
+}
+
+
 def aggregate_cards(cards: DataFrame) -> DataFrame:
-    """One row for each ``sale_id`` of cards with a match year: sums, extremes and the first known category by card."""
+    """One row for each ``sale_id``, a null one too: sums, extremes and first known texts of its cards with a match year.
+
+    Cards without one count for nothing, but their sale stays, with a ``card_count`` of 0. Land stands on every card
+    of a parcel, so its greatest value counts; texts go by card number; sums of nothing known are null; bathrooms
+    need both of their counts. Columns that ``cards`` lacks have no result.
+    """
     require(cards, "sale_id", "card", "property_match_year")
-    cards = cards.where("property_match_year is not null")
+    used = F.col("property_match_year").isNotNull()
     has = lambda c: c in cards.columns
-    sums = {"building_sqft": "char_bldg_sf", "bedrooms": "char_beds", "rooms": "char_rooms", "full_baths": "char_fbath", "half_baths": "char_hbath"}
-    out = [F.count("*").alias("card_count")]
-    out += [F.sum(number(c)).alias(n) for n, c in sums.items() if has(c)]  # null where no card has a number
-    out += [F.max(number(c)).alias(n) for n, c in {"land_sqft": "char_land_sf"}.items() if has(c)]
-    out += [F.min(number("char_yrblt")).alias("year_built")] if has("char_yrblt") else []
-    out += [F.sum(garage_spaces("char_gar1_size")).alias("garage_spaces")] if has("char_gar1_size") else []
-    out += [F.bool_or(has_basement("char_bsmt")).alias("has_basement")] if has("char_bsmt") else []
-    out += [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("card", c))).alias(n) for n, c in {"residence_type": "char_type_resd", "construction_quality": "char_cnst_qlty"}.items() if has(c)]
-    rows = cards.groupBy("sale_id").agg(*out)
+    of = lambda c: F.when(used, c)
+    first = lambda c, rule=None: F.min_by(c, F.when(F.col(c).isNotNull() & (used if rule is None else rule), F.struct("card", c)))
+    out = {"card_count": F.count_if(used)}
+    out |= {n: F.sum(of(number(c))) for n, c in CARD_SUMS.items() if has(c)}
+    if has("char_land_sf"):
+        out["land_sqft"] = F.max(of(number("char_land_sf")))
+    if has("char_yrblt"):
+        out["year_built"] = F.min(of(number("char_yrblt")))
+    if has("char_type_resd"):
+        out["stories"] = F.max(of(F.regexp_extract("char_type_resd", r"(\d+(?:\.\d+)?)", 1).try_cast("double")))
+    if has("char_gar1_size"):
+        out["garage_spaces"] = F.sum(of(garage_spaces("char_gar1_size")))
+    if has("char_bsmt"):
+        out["has_basement"] = F.bool_or(of(has_basement("char_bsmt")))
+    out |= {n: first(c) for n, c in CARD_TEXTS.items() if has(c)}
+    out |= {c: first(c, F.lit(True)) for c in ("property_alignment_status", "property_lag_years") if has(c)}
+    rows = cards.groupBy("sale_id").agg(*(c.alias(n) for n, c in out.items()), first("property_match_year").alias("property_match_year"))
     if has("char_fbath") and has("char_hbath"):
-        rows = rows.withColumn("bathrooms", F.when(F.col("full_baths").isNotNull() | F.col("half_baths").isNotNull(), F.coalesce("full_baths", F.lit(0.0)) + 0.5 * F.coalesce("half_baths", F.lit(0.0))))
+        rows = rows.withColumn("bathrooms", F.col("full_baths") + 0.5 * F.col("half_baths"))
     return rows
+
+
+def valid_degrees(latitude: str | Column, longitude: str | Column) -> Column:
+    """Both are numbers of degrees that exist."""
+    return F.coalesce(number(latitude).between(-90, 90) & number(longitude).between(-180, 180), F.lit(False))
+
+
+def inside_box(latitude: str | Column, longitude: str | Column, low: tuple[float, float], high: tuple[float, float]) -> Column:
+    """Whether a place lies in the box of two corners (latitude, longitude); null where it has no place."""
+    return number(latitude).between(low[0], high[0]) & number(longitude).between(low[1], high[1])
+
+
+def capped_sample(df: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
+    """At most ``most`` rows, the same ones however the table is partitioned: those whose key and seed hash lowest.
+
+    For fits whose size is bounded by design. Null keys hash like empty ones; ties go by the key.
+    """
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    return df.withColumn("_mark", mark).orderBy("_mark", key).limit(most).drop("_mark")
+
+
+def require_unique(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, or an error naming up to three keys that stand in several rows; null keys are keys."""
+    repeated = df.groupBy(*keys).count().where("count > 1").limit(3).collect()
+    if repeated:
+        raise ValueError(f"not unique on {', '.join(keys)}: {', '.join(str(tuple(r[k] for k in keys)) for r in repeated)}")
+    return df

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -102,27 +107,68 @@ def prior_appreciation(sales: DataFrame, geo: str, window_days: int = 730, least
     """``sale_id, n_recent, appreciation``: median price of the newer over that of the older half of the window before a sale.
 
     Only sales of the geography strictly before the target count; the newer half is the last ``window_days`` / 2
-    whole days; each half needs ``least`` sales. Time is cut into spans as long as the window, and each sale
-    stands in its own span and, as history alone, in the next one: a geography with very many sales is dealt
-    out span by span, and each target sees its window in one ordered pass.
+    whole days; each half needs ``least`` priced sales. Time is cut into spans as long as the window, and each sale
+    stands in its own span and, as history alone, in the next one. A span is read as one stream in order of time,
+    past two sorted lists, the halves of the window, which sales enter and leave; so a sale costs two searches,
+    and what is held is a window.
     """
     span = 86_400 * window_days
-    second = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("sale_date"))
-    known = sales.where(F.col(geo).isNotNull() & F.col("sale_date").isNotNull()).select("sale_id", F.col(geo).alias("_geo"), F.col("sale_price").alias("_price"), second.alias("_at"))
+    second = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("sale_date").cast("timestamp_ntz"))
+    known = sales.where(F.col(geo).isNotNull() & F.col("sale_date").isNotNull()).select("sale_id", F.xxhash64(geo).alias("_hash"), F.col(geo).cast("string").alias("_geo"), F.col("sale_price").cast("double").alias("_price"), second.alias("_at"))
     own = known.withColumns({"_span": F.floor(F.col("_at") / span), "_guest": F.lit(False)})
     both = own.unionByName(own.withColumns({"_span": F.col("_span") + 1, "_guest": F.lit(True)}))
-    before = Window.partitionBy("_geo", "_span").orderBy("_at").rangeBetween(-span, -1)
-    recent = both.withColumn("_recent", F.collect_list(F.struct("_at", "_price")).over(before)).where("not _guest")
-    newer = F.expr(f"transform(filter(_recent, r -> (_at - r._at) div 86400 <= {window_days / 2}), r -> r._price)")
-    older = F.expr(f"transform(filter(_recent, r -> (_at - r._at) div 86400 > {window_days / 2}), r -> r._price)")
-    halves = recent.select("sale_id", F.size("_recent").cast("long").alias("n_recent"), F.array_compact(newer).alias("_new"), F.array_compact(older).alias("_old"))
-    enough = (F.size("_new") >= least) & (F.size("_old") >= least)
-    return halves.select("sale_id", "n_recent", F.when(enough, _middle("_new") / _middle("_old") - 1).alias("appreciation"))
-
-
-def _middle(c: str) -> Column:
-    """The median of an array."""
-    return F.expr(f"(element_at(array_sort({c}), int((size({c}) + 1) div 2)) + element_at(array_sort({c}), int(size({c}) div 2 + 1))) / 2")
+    dealt = both.repartition("_hash", "_span").sortWithinPartitions("_hash", "_geo", "_span", "_at")
+    kind = sales.schema["sale_id"].dataType.simpleString()
+    middle = (window_days // 2 + 1) * 86_400  # from here on a sale is in the older half
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, now = None, []
+        for batch in batches:
+            out = []
+            for sale_id, place, price, at, period, guest in zip(*(batch.column(c).to_pylist() for c in ("sale_id", "_geo", "_price", "_at", "_span", "_guest")), strict=True):
+                if (place, period) != group:
+                    group, now = (place, period), []
+                    recent, late, early = (deque(), deque()), [], []  # sales of both halves in order of time, their prices in order
+                if now and now[0][0] < at:  # what stood at one time becomes history together
+                    recent[0].extend(now)
+                    for _, x in now:
+                        _add(late, x)
+                    now = []
+                while recent[0] and at - recent[0][0][0] >= middle:
+                    recent[1].append(recent[0].popleft())
+                    _drop(late, recent[1][-1][1])
+                    _add(early, recent[1][-1][1])
+                while recent[1] and at - recent[1][0][0] > span:
+                    _drop(early, recent[1].popleft()[1])
+                now.append((at, price))
+                if not guest:
+                    enough = min(len(late), len(early)) >= least
+                    out.append((sale_id, len(recent[0]) + len(recent[1]), _median(late) / _median(early) - 1 if enough and _median(early) else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((batch.schema.field("sale_id").type, pa.int64(), pa.float64()))], ["sale_id", "n_recent", "appreciation"])
+
+    return dealt.select("sale_id", "_geo", "_price", "_at", "_span", "_guest").mapInArrow(halves, f"sale_id {kind}, n_recent long, appreciation double")
+
+
+def _add(values: list[float], value: float | None) -> None:
+    if value is not None:
+        insort(values, value)
+
+
+def _drop(values: list[float], value: float | None) -> None:
+    if value is not None:
+        values.pop(bisect_left(values, value))
+
+
+def _median(values: list[float]) -> float:
+    """Of a sorted list."""
+    n = len(values)
+    return (values[(n - 1) // 2] + values[n // 2]) / 2
+
+
+def index_growth(index: DataFrame, value: str, *by: str, period: str = "year") -> DataFrame:
+    """``annual_index_growth``: the change over the index's own previous period, within ``by``; null for the first."""
+    before = F.lag(value).over(Window.partitionBy(*by).orderBy(period))  # a row for each period
+    return index.withColumn("annual_index_growth", F.try_divide(F.col(value), before) - 1)
 
 
 def repeat_index_by_geography(pairs: DataFrame, start: str, end: str, least: int = 5) -> list[tuple[str, int, float]]:

@@ -31,8 +31,8 @@ def acs_features(spark, d):
     return rows.select("sale_id", "median_household_income", *(F.round(c, 6).alias(c) for c in ("poverty_rate", "bachelors_or_higher_rate", "owner_occupancy_rate")), "median_housing_age", F.round("population_density", 4).alias("population_density"))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS sale_id, l_linenumber AS card, l_quantity AS sqft, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_returnflag END AS kind, l_linenumber % 2 AS half, year(l_shipdate) - 40 AS built FROM lineitem WHERE l_linestatus = 'O')
- SELECT sale_id, count(*) AS card_count, sum(sqft) AS building_sqft, max(sqft) AS land_sqft, CAST(min(built) AS DOUBLE) AS year_built, CAST(count(*) AS DOUBLE) + 0.5 * sum(half) AS bathrooms, arg_min(kind, (card, kind)) FILTER (kind IS NOT NULL) AS residence_type FROM c GROUP BY sale_id""")
+@query("""WITH c AS (SELECT l_orderkey AS sale_id, l_linenumber AS card, l_quantity AS sqft, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_returnflag END AS kind, l_linenumber % 2 AS half, year(l_shipdate) - 40 AS built, l_linestatus = 'O' AS used FROM lineitem)
+ SELECT sale_id, count(*) FILTER (used) AS card_count, sum(sqft) FILTER (used) AS building_sqft, max(sqft) FILTER (used) AS land_sqft, CAST(min(built) FILTER (used) AS DOUBLE) AS year_built, CAST(nullif(count(*) FILTER (used), 0) AS DOUBLE) + 0.5 * sum(half) FILTER (used) AS bathrooms, arg_min(kind, (card, kind)) FILTER (kind IS NOT NULL AND used) AS residence_type FROM c GROUP BY sale_id""")
 def card_totals(spark, d):
     cards = read(spark, d, "lineitem").selectExpr("l_orderkey as sale_id", "l_linenumber as card", "if(l_linestatus = 'O', 2000, null) as property_match_year", "l_quantity as char_bldg_sf", "l_quantity as char_land_sf", "1 as char_fbath", "l_linenumber % 2 as char_hbath", "year(l_shipdate) - 40 as char_yrblt", "if(l_linenumber % 3 = 0, null, l_returnflag) as char_type_resd")
     return cleaning.aggregate_cards(cards).select("sale_id", "card_count", "building_sqft", "land_sqft", "year_built", "bathrooms", "residence_type")

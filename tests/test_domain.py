@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotline.operators import asof, cleaning, hedonic, indices, spatial, validation
-from plotline.plans import appraisal, auditing, catalog, comparing, insight, places, regressions, valuation  # noqa: F401
+from plotline.plans import appraisal, auditing, catalog, comparing, designing, insight, places, regressions, valuation  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
