@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.common import kept
+from plotline.llm.common import kept, materialize, shared_dir
 from plotline.llm.units import bound_batches
 
 ERROR_RATE = 0.06
@@ -123,17 +123,24 @@ def _matcher(block) -> Matcher:
     return matchers[key]
 
 
-def blocks(items: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
-    """``item_id, text`` in broadcast blocks of about ``block_bytes`` of text each."""
+def blocks(items: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> Iterator[Broadcast]:
+    """``item_id, text`` in broadcast blocks of about ``block_bytes`` of text each, one after the other.
+
+    More than one block: the items are dealt into folders of a table once, and a block is read from its own when its
+    turn comes, so that the driver holds one block at a time.
+    """
     spark = items.sparkSession
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + size // block_bytes
-    out = []
+    named = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    if n > 1:
+        path = shared_dir(spark)
+        named.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).repartition("block").write.partitionBy("block").parquet(path)
+        dealt = spark.read.schema("item_id long, text string, block long").parquet(path)
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        rows = [(r.item_id, r.text) for r in part.select(F.col("item_id").cast("long"), "text").sort("item_id", "text").toLocalIterator()]
-        out.append(spark.sparkContext.broadcast((uuid4().hex, rows, error_rate)))
-    return out
+        part = named if n == 1 else dealt.where(F.col("block") == k).drop("block")
+        rows = [(r.item_id, r.text) for r in part.sort("item_id", "text").collect()]  # a block
+        yield spark.sparkContext.broadcast((uuid4().hex, rows, error_rate))
 
 
 def _match(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
@@ -144,12 +151,12 @@ def _match(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "distance", "budget"])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, item_id, distance, budget`` for every item that stands in a text; nothing is shuffled."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for block in blocks(items, error_rate):
+    for block in blocks(items, error_rate, block_bytes):
         found = rows.mapInArrow(partial(_match, block=block), "doc_id long, item_id long, distance long, budget long")
         out = found if out is None else out.unionByName(found)
     return out
@@ -162,10 +169,17 @@ def _clean(batches: Iterator[pa.RecordBatch], block, at: int) -> Iterator[pa.Rec
         yield batch.filter(keep)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
-    """``docs`` without the rows in which any item stands; all columns stay."""
+def decontaminate(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows in which any item stands; all columns stay.
+
+    Each block of items sees what the one before it left, written in between, so a task runs one matcher at a time.
+    """
     bound_batches(docs.sparkSession)
-    at = docs.columns.index("text")
-    for block in blocks(items, error_rate):
+    at, before = docs.columns.index("text"), None
+    for block in blocks(items, error_rate, block_bytes):
+        docs = docs if before is None else materialize(docs)
+        if before is not None:
+            before.unpersist()
         docs = docs.mapInArrow(partial(_clean, block=block, at=at), docs.schema)
+        before = block
     return docs

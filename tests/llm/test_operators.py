@@ -544,7 +544,11 @@ def test_decontamination(spark, docs, no_docs):
     assert kept.columns == docs.columns and kept.count() == len(ROWS) + 2
     assert decontaminate.contaminated(no_docs, items).count() == 0
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
-    assert len(decontaminate.blocks(items, block_bytes=100)) > 1
+    assert len(list(decontaminate.blocks(items, block_bytes=100))) > 1
+    in_blocks = sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(rows, items, block_bytes=100).collect())
+    assert in_blocks == got
+    again = decontaminate.decontaminate(docs.unionByName(extra, allowMissingColumns=True), items, block_bytes=100)
+    assert again.columns == docs.columns and again.count() == len(ROWS) + 2
 
 
 # --- fingerprints ------------------------------------------------------------------------------
