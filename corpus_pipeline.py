@@ -2,6 +2,13 @@
 
 Rejected documents go, one document of each near-duplicate group stays, documents with benchmark items
 go, personal data is replaced, and the rest is encoded. Each stage's result is a table of its own.
+
+Cases, the same in every stage: a null text counts as empty; an empty text stays unless its group of copies has another
+first, is never contaminated, holds no personal data, and encodes to no ids; long texts are read to their end; a null
+or repeated ``doc_id`` is a row like any other, but the near-copy stage keeps one row of each group, the least id first
+(nulls last), and of rows that agree in id and text any one; of texts that tie in score all stay or all go; an empty
+table gives no rows after every stage; columns beyond those of ``documents``, whatever their names, pass through all
+stages but the last, which returns the encoded columns alone.
 """
 
 from __future__ import annotations
