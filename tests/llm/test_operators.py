@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small table of awkward rows, and on an empty one."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -407,6 +408,56 @@ def test_field_decodes_held_out_lines():
     assert right / total > 0.98
 
 
+def _spans(row):
+    return {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in row.spans.split(",") if x)}
+
+
+def test_pii_recall_by_kind_in_whole_texts(spark):
+    """Items of every kind planted in prose that the labelled table has not seen: found where they stand, and little else."""
+    rng = random.Random(33)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    makers = {
+        "email": lambda: f"{rng.choice('abcdef')}{digits(2)}.user@{rng.choice(['mail7.example.com', 'post.org'])}",
+        "ip": lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)),
+        "card": lambda: rng.choice([digits(16), " ".join(digits(4) for _ in range(4)), "-".join(digits(4) for _ in range(4))]),
+        "phone": lambda: rng.choice([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}"]),
+        "secret": lambda: '"' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"',
+    }
+    cues = {"email": "contact ", "ip": "from ", "card": "card ", "phone": "call ", "secret": "token = "}
+    rows, planted = [], {}
+    for i in range(120):
+        words = sentences(500 + i, 150).split()
+        kinds = rng.sample(list(makers), 3)
+        text, found = "", []
+        for part, kind in enumerate(kinds):
+            text += " ".join(words[part * 50 : part * 50 + 50]) + " " + cues[kind]
+            item = makers[kind]()
+            found.append((kind, len(text), len(text) + len(item)))
+            text += item + " "
+        rows += [(i, text), (1000 + i, " ".join(words))]
+        planted[i] = found
+    got = {r.doc_id: _spans(r) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit, total, extra = Counter(), Counter(), 0
+    for i, found in planted.items():
+        for kind, a, b in found:
+            total[kind] += 1
+            hit[kind] += any(k == kind and s < b and e > a and s >= a - 1 and e <= b + 1 for k, s, e in got[i])
+        extra += sum(not any(s < b and e > a for _, a, b in found) for _, s, e in got[i])
+    assert all(hit[k] >= 0.95 * total[k] for k in makers), (hit, total)
+    assert extra <= 0.03 * sum(total.values()) and sum(len(got[1000 + i]) for i in planted) <= 4
+
+
+def test_pii_finds_the_tables_secrets(spark):
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(folder).where("text rlike 'token = .[0-9a-f]{40}'")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    tokens = [(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer('token = "([0-9a-f]{40})"', t)]
+    got = {r.doc_id: _spans(r) for r in pii.find(docs).collect()}
+    assert len(tokens) >= 10 and all(any(k == "secret" and s <= a and e >= b for k, s, e in got[i]) for i, a, b in tokens)
+
+
 def test_viterbi_against_all_paths():
     from itertools import product
 
