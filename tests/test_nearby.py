@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from plotline.operators import comparables, spatial
+from plotline.operators import comparables, spatial, spatial_models
 
 START = dt.datetime(2015, 1, 1)
 
@@ -49,3 +49,12 @@ def test_prior_medians_take_no_join_of_pairs(spark):
         assert got[i].prior_count == len(near)
         middle = (near[(len(near) - 1) // 2] + near[len(near) // 2]) / 2 if near else None
         assert got[i].prior_median == (pytest.approx(middle) if near else None)
+
+
+def test_band_moran_is_that_of_the_edges(spark):
+    rng = random.Random(8)
+    rows = [(i, float(rng.randrange(12)) * 10, float(rng.randrange(12)) * 10, rng.choice([None, *[rng.random()] * 9])) for i in range(200)] + [(900, 5000.0, 0.0, 3.0), (901, None, 0.0, 3.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, value double")
+    want = spatial_models.moran_test(df, spatial_models.distance_band(df, "id", 15.0), "id", "value", draws=0)
+    got = spatial_models.band_moran(df, "id", "value", 15.0)
+    assert (got.n, got.i, got.expected, got.z_normal) == (want.n, pytest.approx(want.i), want.expected, pytest.approx(want.z_normal))
