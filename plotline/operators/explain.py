@@ -38,7 +38,7 @@ def permutation_importance(df: DataFrame, predict: Predict, features: list[str],
 
     moved = rows.select("number").mapInArrow(shuffled, "number long, draw long, source long")
     given = rows.select(F.col("number").alias("source"), F.struct(*features).alias("_given"))
-    copies = moved.join(given, "source").join(rows, "number").withColumn("feature", F.element_at(F.array(*map(F.lit, features)), (F.floor(F.col("draw") / repeats) + 1).cast("int")))
+    copies = moved.join(given.hint("merge"), "source").join(rows.hint("merge"), "number").withColumn("feature", F.element_at(F.array(*map(F.lit, features)), (F.floor(F.col("draw") / repeats) + 1).cast("int")))
     changed = {f: F.when(F.col("feature") == f, F.col(f"_given.{f}")).otherwise(F.col(f)) for f in features}
     long = copies.withColumns(changed).drop("_given", "source").unionByName(rows.withColumns({"draw": F.lit(-1).cast("long"), "feature": F.lit(None).cast("string")}))
     errors = predict(long).groupBy("feature", "draw").agg(F.avg(F.abs(F.col("prediction") - F.col(actual))).alias("error"))
