@@ -62,7 +62,7 @@ def candidates(places: DataFrame, things: DataFrame, k: int = 1) -> DataFrame:
         shift = 2 * (depth - level)
         at = {"_cx": F.shiftright("_cx", shift), "_cy": F.shiftright("_cy", shift)}
         cells = dealt.withColumns(at).groupBy("_cx", "_cy").agg(*_box(), F.count("*").alias("_n")).withColumns({"_px": F.shiftright("_cx", 2), "_py": F.shiftright("_cy", 2)})
-        near = open_.join(F.broadcast(cells) if level <= _BOUNDED else cells, ["_px", "_py"]).withColumns({"_gap": gap(x, y), "_reach": reach(x, y)})
+        near = open_.join(F.broadcast(cells) if level <= _BOUNDED else cells.hint("merge"), ["_px", "_py"]).withColumns({"_gap": gap(x, y), "_reach": reach(x, y)})
         if k == 1:
             bound = F.min("_reach").over(of_place)
         else:
@@ -70,5 +70,5 @@ def candidates(places: DataFrame, things: DataFrame, k: int = 1) -> DataFrame:
             bound = F.coalesce(F.min(F.when(F.col("_held") >= k, F.col("_reach"))).over(of_place), F.lit(float("inf")))
         near = near.withColumn("_bound", bound).where("_gap <= _bound * (1 + 1e-12)")
         open_ = near.select("place_x", "place_y", F.col("_cx").alias("_px"), F.col("_cy").alias("_py"))
-    found = open_.join(dealt, (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")))
+    found = open_.join(dealt.hint("merge"), (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")))
     return found.drop("_px", "_py", "_cx", "_cy", "_mx", "_my")

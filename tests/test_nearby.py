@@ -58,3 +58,14 @@ def test_band_moran_is_that_of_the_edges(spark):
     want = spatial_models.moran_test(df, spatial_models.distance_band(df, "id", 15.0), "id", "value", draws=0)
     got = spatial_models.band_moran(df, "id", "value", 15.0)
     assert (got.n, got.i, got.expected, got.z_normal) == (want.n, pytest.approx(want.i), want.expected, pytest.approx(want.z_normal))
+
+
+def test_no_round_sends_its_table_to_the_driver(spark):
+    df = spark.createDataFrame([(i, float(i), 0.0, 1.0 * i) for i in range(40)], "id long, x double, y double, value double")
+    edges = spatial.knn(df, "id", 4)
+    rows = df.selectExpr("id", "value as linear", "if(id < 30, value, null) as known")
+    plans = spark._jsparkSession.sharedState().statusStore()
+    before = plans.executionsCount()
+    spatial_models.conditional(rows, edges, "id", 0.5, tolerance=1e-3).collect()
+    late = [plans.executionsList().apply(k).physicalPlanDescription() for k in range(before, plans.executionsCount())]
+    assert late and not any("BroadcastHashJoin" in p for p in late)
