@@ -249,6 +249,19 @@ def test_spans_are_of_the_texts_and_follow_the_input():
     assert 0.3 < sum(map(len, spans)) / sum(map(len, whole)) < 0.7
 
 
+def test_every_id_of_every_text_is_learnt_from(spark, monkeypatch):
+    coder = lm._Coder(RANKS, public_tokenizers.PATTERN)
+    texts = [sentences(k, 60).encode() for k in range(40)] + [sentences(99, 5000).encode(), b"short text", b"", None]
+    whole = [b"".join(coder.words([*lm.words_of(t), lm.END_WORD])) for t in texts]
+    flat = np.frombuffer(b"".join(whole), "<u2")
+    train = spark.createDataFrame([(t,) for t in texts], "text binary").repartition(3)
+    sums, summed = [], lm.summed
+    monkeypatch.setattr(lm, "summed", lambda parts: sums.append(summed(parts)) or sums[-1])
+    lm.fit(train, np.bincount(flat, minlength=coder.end_id + 1).astype(float), RANKS, public_tokenizers.PATTERN)
+    company, weights = sums
+    assert weights[-1] == len(flat) and company.sum() == 2 * sum(len(w) // 2 - 1 for w in whole)
+
+
 def test_words_coded_together_and_alone():
     coder, want = lm._Coder(RANKS, public_tokenizers.PATTERN), tiktoken_encoding()
     words = [b"the", lm.END_WORD, "caf\u00e9".encode(), b"don't", b"x" * 300, "a\u3000b".encode(), b"\xff", lm.END_WORD, b"12,5"]
