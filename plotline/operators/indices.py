@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,8 +59,6 @@ def repeat_sales_index(pairs: DataFrame, start: str, end: str) -> list[tuple[int
 
 
 def _solve(rows: list) -> list[tuple[int, float]]:
-    import numpy as np
-
     rows = [r for r in rows if r.start_period != r.end_period]
     periods = sorted({p for r in rows for p in (r.start_period, r.end_period)})
     at = {p: i for i, p in enumerate(periods)}
@@ -108,61 +106,87 @@ def prior_appreciation(sales: DataFrame, geo: str, window_days: int = 730, least
 
     Only sales of the geography strictly before the target count; the newer half is the last ``window_days`` / 2
     whole days; each half needs ``least`` priced sales. Time is cut into spans as long as the window, and each sale
-    stands in its own span and, as history alone, in the next one. A span is read as one stream in order of time,
-    past two sorted lists, the halves of the window, which sales enter and leave; so a sale costs two searches,
-    and what is held is a window.
+    stands in its own span and, as history alone, in the next one. A half of a window is a run of a span's sales in
+    order of time, and :func:`kth_of_runs` finds the medians of all runs together; so a sale costs as many steps as
+    the number of a span's sales has digits, however crowded the place, and what is held is a span and its history.
     """
     span = 86_400 * window_days
     second = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("sale_date").cast("timestamp_ntz"))
     known = sales.where(F.col(geo).isNotNull() & F.col("sale_date").isNotNull()).select("sale_id", F.xxhash64(geo).alias("_hash"), F.col(geo).cast("string").alias("_geo"), F.col("sale_price").cast("double").alias("_price"), second.alias("_at"))
     own = known.withColumns({"_span": F.floor(F.col("_at") / span), "_guest": F.lit(False)})
     both = own.unionByName(own.withColumns({"_span": F.col("_span") + 1, "_guest": F.lit(True)}))
-    dealt = both.repartition("_hash", "_span").sortWithinPartitions("_hash", "_geo", "_span", "_at")
+    context = sales.sparkSession.sparkContext
+    parts = max(int(sales.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * context.defaultParallelism)  # few bytes, much work
+    dealt = both.repartition(parts, "_hash", "_span").sortWithinPartitions("_hash", "_geo", "_span", "_at")
     kind = sales.schema["sale_id"].dataType.simpleString()
     middle = (window_days // 2 + 1) * 86_400  # from here on a sale is in the older half
 
+    def told(rows: pa.Table) -> pa.RecordBatch:
+        at, guest, price = rows["_at"].to_numpy(), rows["_guest"].to_numpy(), rows["_price"]
+        priced = np.concatenate([[0], np.cumsum(price.is_valid().to_numpy())])  # how many have a price before each
+        mine = at[~guest]
+        end, start = np.searchsorted(at, mine), np.searchsorted(at, mine - span)
+        cut = np.clip(np.searchsorted(at, mine - middle, "right"), start, end)
+        lo, mid, hi = priced[start], priced[cut], priced[end]
+        enough = np.flatnonzero(np.minimum(hi - mid, mid - lo) >= max(least, 1))
+        new, old = _medians(price.drop_null().to_numpy(), np.concatenate([mid[enough], lo[enough]]), np.concatenate([hi[enough], mid[enough]])).reshape(2, -1)
+        enough, new, old = (x[old != 0] for x in (enough, new, old))
+        found, is_null = np.zeros(len(mine)), np.ones(len(mine), bool)
+        found[enough], is_null[enough] = new / old - 1, False
+        sale_id = rows["sale_id"].filter(pa.array(~guest)).combine_chunks()
+        return pa.RecordBatch.from_arrays([sale_id, pa.array((end - start).astype(np.int64)), pa.array(found, mask=is_null)], ["sale_id", "n_recent", "appreciation"])
+
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, now = None, []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            out = []
-            for sale_id, place, price, at, period, guest in zip(*(batch.column(c).to_pylist() for c in ("sale_id", "_geo", "_price", "_at", "_span", "_guest")), strict=True):
-                if (place, period) != group:
-                    group, now = (place, period), []
-                    recent, late, early = (deque(), deque()), [], []  # sales of both halves in order of time, their prices in order
-                if now and now[0][0] < at:  # what stood at one time becomes history together
-                    recent[0].extend(now)
-                    for _, x in now:
-                        _add(late, x)
-                    now = []
-                while recent[0] and at - recent[0][0][0] >= middle:
-                    recent[1].append(recent[0].popleft())
-                    _drop(late, recent[1][-1][1])
-                    _add(early, recent[1][-1][1])
-                while recent[1] and at - recent[1][0][0] > span:
-                    _drop(early, recent[1].popleft()[1])
-                now.append((at, price))
-                if not guest:
-                    enough = min(len(late), len(early)) >= least
-                    out.append((sale_id, len(recent[0]) + len(recent[1]), _median(late) / _median(early) - 1 if enough and _median(early) else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((batch.schema.field("sale_id").type, pa.int64(), pa.float64()))], ["sale_id", "n_recent", "appreciation"])
+            if not batch.num_rows:
+                continue
+            # a new group starts where the place or the span is not that of the row before
+            moved = [pc.not_equal(batch.column(c)[1:], batch.column(c)[:-1]).to_numpy(zero_copy_only=False) for c in ("_geo", "_span")]
+            starts = [0, *(np.flatnonzero(moved[0] | moved[1]) + 1).tolist()]
+            if held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in ("_geo", "_span")):
+                yield told(pa.Table.from_batches(held))
+                held = []
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if lo:
+                    yield told(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield told(pa.Table.from_batches(held))
 
     return dealt.select("sale_id", "_geo", "_price", "_at", "_span", "_guest").mapInArrow(halves, f"sale_id {kind}, n_recent long, appreciation double")
 
 
-def _add(values: list[float], value: float | None) -> None:
-    if value is not None:
-        insort(values, value)
-
+def kth_of_runs(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The ``k``-th least (from 0) of each run ``values[lo:hi]``, for all runs together.
 
-def _drop(values: list[float], value: float | None) -> None:
-    if value is not None:
-        values.pop(bisect_left(values, value))
-
-
-def _median(values: list[float]) -> float:
-    """Of a sorted list."""
-    n = len(values)
-    return (values[(n - 1) // 2] + values[n // 2]) / 2
+    Bit by bit of the rank, from the highest: the values are dealt stably by the bit, the run's share of each side is
+    again a run, and the side that holds the wanted one is known by counting.
+    """
+    order = np.argsort(values, kind="stable")
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    lo, hi, k, found = (np.array(x, np.int64) for x in (lo, hi, k, np.zeros(len(lo))))
+    for bit in reversed(range(max(0, len(values) - 1).bit_length())):
+        upper = (rank >> bit) & 1 == 1
+        lower = np.concatenate([[0], np.cumsum(~upper)])  # how many are lower before each
+        a, b = lower[lo], lower[hi]
+        up = k >= b - a
+        k -= np.where(up, b - a, 0)
+        found |= up.astype(np.int64) << bit
+        lo, hi = np.where(up, lower[-1] + lo - a, a), np.where(up, lower[-1] + hi - b, b)
+        rank = np.concatenate([rank[~upper], rank[upper]])
+    return values[order[found]]
+
+
+def _medians(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Of runs that hold something."""
+    n = hi - lo
+    out, even = kth_of_runs(values, lo, hi, (n - 1) // 2), n % 2 == 0
+    above = out.copy()
+    above[even] = kth_of_runs(values, lo[even], hi[even], n[even] // 2)
+    return (out + above) / 2
 
 
 def index_growth(index: DataFrame, value: str, *by: str, period: str = "year") -> DataFrame:

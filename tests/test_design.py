@@ -93,6 +93,32 @@ def test_appreciation_against_sorting(spark):
     assert got == want
 
 
+def test_order_statistics_of_many_runs_at_once():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 64, 65, 500):
+        values = rng.integers(0, max(2, n // 3), n).astype(float)  # ties
+        lo = rng.integers(0, n, 300)
+        hi = np.array([rng.integers(x + 1, n + 1) for x in lo])
+        k = np.array([rng.integers(0, b - a) for a, b in zip(lo, hi)])
+        assert indices.kth_of_runs(values, lo, hi, k).tolist() == [sorted(values[a:b])[c] for a, b, c in zip(lo, hi, k)]
+        assert indices._medians(values, lo, hi).tolist() == [np.median(values[a:b]) for a, b in zip(lo, hi)]
+    assert indices.kth_of_runs(np.zeros(0), *(np.zeros(0, int),) * 3).tolist() == []
+
+
+def test_a_crowded_place_is_not_gone_through_sale_by_sale(spark):
+    """A place's sales, many on a day, over several batches; each half of a window holds thousands."""
+    rng = np.random.default_rng(2)
+    day, price = np.sort(rng.integers(0, 900, 30_000)), rng.integers(1, 400, 30_000).astype(float)
+    df = spark.createDataFrame([(i, "a", 946_684_800 + int(d) * 86_400, float(p)) for i, (d, p) in enumerate(zip(day, price))], "sale_id long, g string, at long, sale_price double")
+    rows = indices.prior_appreciation(df.withColumn("sale_date", F.timestamp_seconds("at").cast("timestamp_ntz")), "g", window_days=400)
+    got = {r.sale_id: (r.n_recent, r.appreciation) for r in rows.collect()}
+    assert len(got) == 30_000
+    for i in range(0, 30_000, 613):
+        before = day[i] - day
+        new, old = price[(before > 0) & (before <= 200)], price[(before > 200) & (before <= 400)]
+        assert got[i] == (len(new) + len(old), pytest.approx(np.median(new) / np.median(old) - 1) if min(len(new), len(old)) >= 3 else None)
+
+
 def test_roll_up_profiles_and_growth(spark):
     df = spark.createDataFrame([("h", "x", 5.0), ("h", "x", -9.0), ("h", "y", 4.0), ("h", "z", 1.0), ("i", "x", None)], "k string, c string, v double")
     got = {(r.k, r.c): (r.contribution, r["rank"]) for r in design.roll_up(df, "k", "c", "v").collect()}
