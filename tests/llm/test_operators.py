@@ -262,6 +262,66 @@ def test_every_id_of_every_text_is_learnt_from(spark, monkeypatch):
     assert weights[-1] == len(flat) and company.sum() == 2 * sum(len(w) // 2 - 1 for w in whole)
 
 
+def test_texts_are_cut_into_ids_once(docs, monkeypatch):
+    """Counting apart, one reading of the texts serves both the fit and the scores; it stores every text's ids."""
+    stored, fit_ids = [], lm.fit_ids
+    monkeypatch.setattr(lm, "_spans", None)  # no reading for the fit alone
+    monkeypatch.setattr(lm, "fit_ids", lambda ids, *rest: stored.extend(ids.collect()) or fit_ids(ids, *rest))
+    got = lm.score(docs, RANKS, public_tokenizers.PATTERN).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len(lm.words_of((t or "").encode())) + 1) for i, t, *_ in ROWS)
+    coder = lm._Coder(RANKS, public_tokenizers.PATTERN)
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    want = Counter(b"".join(coder.words([*lm.words_of((t or "").encode()), lm.END_WORD])) for i, t, *_ in ROWS if not held(i))
+    assert Counter(bytes(r.ids) for r in stored) == want
+
+
+def test_words_forgotten_change_nothing(monkeypatch):
+    import pyarrow as pa
+
+    texts = [sentences(k, 90).encode() for k in range(12)] + [None, b"", b"one two three", b"x" * 3000]
+    hot = {w: -2.5 for w in lm.words_of(texts[0])} | {lm.END_WORD: -1.0}
+    names, step = ["row", "doc_id", "held_out", "text"], 2
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(step))] * 2 + [pa.array([False] * step), pa.array(texts[a : a + step], pa.binary())], names) for a in range(0, len(texts), step)]
+
+    class sent:
+        value = None
+
+    def prepared(key: str) -> list:
+        sent.value = (key, hot, RANKS, public_tokenizers.PATTERN)
+        return [r for b in lm._prepare(iter(batches), sent) for r in pa.Table.from_batches([b]).to_pylist()]
+
+    want = prepared("as many as may be")
+    monkeypatch.setattr(lm, "_MEMO", 3)
+    got = prepared("three")
+    for r in want + got:  # in any order
+        r["rare"] = sorted((x["word"], x["times"]) for x in r["rare"])
+    words = lm.kept("language model")["three"]
+    assert got == want and len(words) < 3 + len(hot) + 400
+    words.forget()
+    assert set(words) <= set(hot) and words.names == list(words) and all(words[w] == k for k, w in enumerate(words.names))
+    lm.kept("language model").clear()
+
+
+def test_company_by_hand():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 3000, n).astype("<u2") for n in (1, 40, 0, 700, 2, 1)]
+    rank = rng.permutation(3000)
+    want = np.zeros((lm.INPUT_IDS, 2 * (lm.COMPANY + 1)))
+    for t in texts:
+        for a, b in zip(rank[t[:-1]], rank[t[1:]], strict=True):
+            if b < lm.INPUT_IDS:
+                want[b, min(a, lm.COMPANY)] += 1
+            if a < lm.INPUT_IDS:
+                want[a, lm.COMPANY + 1 + min(b, lm.COMPANY)] += 1
+    for sizes in ((6,), (2, 0, 4), (1,) * 6):
+        ends = np.cumsum(sizes)
+        parts = [pa.array([t.tobytes() for t in texts[e - n : e]], pa.binary()) for n, e in zip(sizes, ends, strict=True)]
+        (out,) = lm._company((pa.RecordBatch.from_arrays([p], ["ids"]) for p in parts), rank)
+        assert (np.frombuffer(out.column("part")[0].as_py()).reshape(want.shape) == want).all()
+
+
 def test_words_coded_together_and_alone():
     coder, want = lm._Coder(RANKS, public_tokenizers.PATTERN), tiktoken_encoding()
     words = [b"the", lm.END_WORD, "caf\u00e9".encode(), b"don't", b"x" * 300, "a\u3000b".encode(), b"\xff", lm.END_WORD, b"12,5"]
