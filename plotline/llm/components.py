@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round is two joins and pre-aggregated minima over the remaining edges, cut by a table in
     the shared folder; the driver sees only a count and a hash. A hub with very many neighbours is
-    aggregated before the shuffle, and its join is one that adaptive execution can split.
+    aggregated before the shuffle, and its join is by sorting, which adaptive execution can split
+    and which sends nothing to the driver: written edges are small files of many rows.
     Null ends and loops are ignored; repeated edges count once; no edges give no rows.
     """
     e = materialize(
@@ -32,10 +33,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         after = _signature(e)
         if after == before:

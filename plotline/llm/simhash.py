@@ -66,7 +66,8 @@ def near_pairs(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Distinct fingerprints ``fp`` -> verified links ``(u, v)``, u < v.
 
     A pair comes out for the variant whose wiped bit is the one that differs, or for bit 0 where the
-    halves are equal; so each pair appears twice at most.
+    halves are equal; so each pair appears twice at most. Spark sizes the variants, 64 for each fingerprint, as
+    the fingerprints themselves, so it is told to join by sorting and not to send them to the driver.
     """
     if not 0 <= max_distance <= 3:
         raise ValueError("two halves with one wildcard prove completeness for distances up to 3")
@@ -83,7 +84,7 @@ def near_pairs(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     once = f"({differing} = shiftleft(1L, {bit}) or ({differing} = 0 and {bit} = 0))"
     return (
         a.alias("a")
-        .join(b.alias("b"), F.expr(f"a.variant = b.variant and u < v and bit_count(u ^ v) <= {int(max_distance)} and {once}"))
+        .join(b.alias("b").hint("merge"), F.expr(f"a.variant = b.variant and u < v and bit_count(u ^ v) <= {int(max_distance)} and {once}"))
         .select("u", "v")
     )
 
@@ -98,10 +99,10 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
     rows = materialize(fingerprints(docs))
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = connected_components(near_pairs(nodes.select("fp"), max_distance))
-    linked = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    linked = nodes.join(roots.hint("merge"), nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     names = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = materialize(linked.join(names, "root").select("fp", "component_id", "root"))
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+    named = materialize(linked.join(names.hint("merge"), "root").select("fp", "component_id", "root"))
+    return rows.join(named.hint("merge"), "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:

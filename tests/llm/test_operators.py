@@ -985,6 +985,14 @@ def test_simhash(docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.drop_near_duplicates(no_docs).count() == 0
 
 
+def test_simhash_sends_no_table_to_the_driver(spark):
+    """A small file of fingerprints holds 64 times as many variants, and Spark sizes them as the file."""
+    fps = spark.createDataFrame([(i * 2654435761,) for i in range(50)], "fp long")
+    assert "Broadcast" not in simhash.near_pairs(fps)._jdf.queryExecution().executedPlan().toString()
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7}") for i in range(30)], "doc_id long, text string")
+    assert "Broadcast" not in simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_pairs_are_complete(spark):
     rng = random.Random(6)
     values = set()
