@@ -4,9 +4,11 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from plotline.operators import comparables, spatial, spatial_models
+from plotline.operators import comparables, nearby, spatial, spatial_models
 
 START = dt.datetime(2015, 1, 1)
 
@@ -69,3 +71,77 @@ def test_no_round_sends_its_table_to_the_driver(spark):
     spatial_models.conditional(rows, edges, "id", 0.5, tolerance=1e-3).collect()
     late = [plans.executionsList().apply(k).physicalPlanDescription() for k in range(before, plans.executionsCount())]
     assert late and not any("BroadcastHashJoin" in p for p in late)
+
+
+@pytest.mark.parametrize("n", [1, 40, 3000])
+def test_runs_reach_what_their_own_rows_reach(n):
+    rng = np.random.default_rng(n)
+    rank, weight = rng.permutation(2 * n)[:n], rng.uniform(0.1, 1, n)
+    first, end = (np.sort(rng.integers(0, n + 1, 70)) for _ in range(2))
+    first, end = np.minimum(first, end), np.maximum(first, end)
+    pairs = [(i, int(j)) for i in range(70) for j in sorted(set(rng.integers(first[i], end[i], 3).tolist()) if end[i] > first[i] else ())]
+    own = (np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int))
+    middle = nearby.reached(rank, 2 * n, first, end, own, [lambda k: (k - 1) // 2])[0]
+    half = nearby.reached(rank, 2 * n, first, end, own, [lambda w: 0.5 * w], weight)[0]
+    for i in range(70):
+        left = sorted((int(rank[j]), weight[j]) for j in range(first[i], end[i]) if (i, j) not in set(pairs))
+        if not left:
+            assert middle[i] == half[i] == -1
+            continue
+        assert middle[i] == left[(len(left) - 1) // 2][0]
+        assert half[i] == left[int(np.searchsorted(np.cumsum([w for _, w in left]), 0.5 * sum(w for _, w in left)))][0]
+
+
+def test_weighted_past_of_crowded_places(spark):
+    """More sales near one place than are looked at one by one."""
+    rng = random.Random(12)
+    rows = [(i, f"p{rng.randrange(400)}", START + dt.timedelta(days=rng.randrange(900)), float(rng.randrange(1000, 5000)), 1000.0, 300.0 * rng.randrange(3), 0.0) for i in range(2500)]
+    df = spark.createDataFrame(rows, "sale_id long, pin string, sale_date timestamp_ntz, sale_price double, building_sqft double, x double, y double")
+    got = {r.sale_id: r for r in comparables.prior_features(df, rules=comparables.PriorRules(miles=0.1, days=400)).collect()}
+    for i, pin, at, _, _, x, _ in rows[::50]:
+        near = sorted((p, j, math.exp(-abs(x - x2) / 2640) * 2 ** (-(at - t).days / 365), (at - t).days) for j, other, t, p, _, x2, _ in rows if other != pin and 1 <= (at - t).days <= 400 and abs(x - x2) <= 528)
+        r, total, run = got[i], sum(n[2] for n in near), 0.0
+        assert r.prior_nearby_sale_count == len(near)
+        for price, _, w, _ in near:
+            run += w
+            if run / total >= 0.5 - 1e-12:
+                break
+        if near:
+            assert (r.prior_nearby_sale_median, r.prior_nearby_most_recent_days) == (price, min(n[3] for n in near))
+            assert r.prior_nearby_weighted_ppsf == pytest.approx(sum(n[0] * n[2] for n in near) / total / 1000, rel=1e-12)
+
+
+def test_tiers_write_no_links(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, f"p{i}", START + dt.timedelta(days=rng.randrange(900)), 100.0, 1000.0, 20.0, "a", rng.random() * 900, 0.0) for i in range(400)] + [(900, "far", START + dt.timedelta(days=800), 100.0, 1000.0, 20.0, "a", 12000.0, 0.0)]
+    df = spark.createDataFrame(rows, "sale_id long, pin string, sale_date timestamp_ntz, sale_price double, building_sqft double, building_age double, residence_type string, x double, y double")
+    written, settled = [], comparables.settled
+    monkeypatch.setattr(comparables, "settled", lambda table: written.append(out := settled(table)) or out)
+    links = comparables.tiered(df)
+    assert "Window" not in links._jdf.queryExecution().analyzed().toString()
+    sizes = [t.count() for t in written]
+    assert sizes[0] == 401 and all(n <= 20 for n in sizes[1:])  # the sales, then those that a tier left without links
+    found = {r.target_sale_id: r for r in links.groupBy("target_sale_id").agg(F.count("*").alias("n"), F.sum("normalized_weight").alias("w"), F.min("tier").alias("tier")).collect()}
+    assert (found[900].n, found[900].tier) == (10, "relaxed") and all(r.w == pytest.approx(1) for r in found.values())
+
+
+def test_only_cells_with_wanted_rows_get_anything(spark):
+    rows = [(i, f"p{i}", START + dt.timedelta(days=i % 900), 10.0 * i, 0.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "sale_id long, pin string, sale_date timestamp_ntz, x double, y double").withColumn("wanted", F.expr("sale_id = 2500"))
+    blocks, _ = nearby.dealt(df, {"x": 400.0, "y": 400.0}, 200)
+    tables = [nearby._opened(t) for t in [blocks.toArrow()]]
+    x, home = tables[0]["x"].to_numpy(), tables[0]["home"].to_numpy(zero_copy_only=False)
+    assert home.sum() == 1 and abs(x - 25000.0).max() <= 401 and len(x) <= 82  # once each
+
+
+def test_nearby_past_reaches_a_mile_and_three_years(spark, tmp_path):
+    """The reference's window: `radius_miles` 1, `lookback_days` 1095."""
+    from plotline.plans import catalog
+
+    # the query derives places from keys; 0 stands at (0, 0)
+    keys = [k for k in range(1, 52800) if 1400 < math.hypot((k * 7919) % 52800, (k * 104729) % 52800) < 5200][:1]
+    spark.createDataFrame([(k, 1, "a") for k in (0, *keys)], "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    orders = [(1, keys[0], START, 100.0), (2, keys[0], START + dt.timedelta(days=900), 300.0), (3, 0, START + dt.timedelta(days=1000), 500.0)]
+    spark.createDataFrame([(*o, "1", "F") for o in orders], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_totalprice double, o_orderpriority string, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.sale_id: (r.prior_count, r.prior_median) for r in catalog.queries()["prior_nearby_features"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0, None), 2: (0, None), 3: (2, 200.0)}
