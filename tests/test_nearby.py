@@ -111,9 +111,9 @@ def test_weighted_past_of_crowded_places(spark):
             assert r.prior_nearby_weighted_ppsf == pytest.approx(sum(n[0] * n[2] for n in near) / total / 1000, rel=1e-12)
 
 
-def test_tiers_write_no_links(spark, monkeypatch):
+def test_tiers_neither_write_nor_shuffle_links(spark, monkeypatch):
     rng = random.Random(3)
-    rows = [(i, f"p{i}", START + dt.timedelta(days=rng.randrange(900)), 100.0, 1000.0, 20.0, "a", rng.random() * 900, 0.0) for i in range(400)] + [(900, "far", START + dt.timedelta(days=800), 100.0, 1000.0, 20.0, "a", 12000.0, 0.0)]
+    rows = [(i, f"p{i}", START + dt.timedelta(days=rng.randrange(900)), 100.0 + i % 90, 1000.0, 20.0, "a", rng.random() * 900, 0.0) for i in range(400)] + [(900, "far", START + dt.timedelta(days=800), 100.0, 1000.0, 20.0, "a", 12000.0, 0.0)]
     df = spark.createDataFrame(rows, "sale_id long, pin string, sale_date timestamp_ntz, sale_price double, building_sqft double, building_age double, residence_type string, x double, y double")
     written, settled = [], comparables.settled
     monkeypatch.setattr(comparables, "settled", lambda table: written.append(out := settled(table)) or out)
@@ -121,6 +121,9 @@ def test_tiers_write_no_links(spark, monkeypatch):
     assert "Window" not in links._jdf.queryExecution().analyzed().toString()
     sizes = [t.count() for t in written]
     assert sizes[0] == 401 and all(n <= 20 for n in sizes[1:])  # the sales, then those that a tier left without links
+    told = comparables.valuations(df)
+    assert not any(w in told._jdf.queryExecution().analyzed().toString() for w in ("Window", "Aggregate [target"))
+    assert [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in told.orderBy("target_sale_id").collect()] == [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in comparables.valued(links).orderBy("target_sale_id").collect()]
     found = {r.target_sale_id: r for r in links.groupBy("target_sale_id").agg(F.count("*").alias("n"), F.sum("normalized_weight").alias("w"), F.min("tier").alias("tier")).collect()}
     assert (found[900].n, found[900].tier) == (10, "relaxed") and all(r.w == pytest.approx(1) for r in found.values())
 
